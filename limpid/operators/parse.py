@@ -44,7 +44,9 @@ def classify(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     """The rows with ``record`` (typed struct) and ``reason_code`` (null for good lines)."""
     raw = F.col(raw_col)
     read = F.from_csv(raw, F.lit(f"{LINE_SCHEMA}, corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
-    out = lines.withColumn("_fields", F.when(raw.rlike(WELL_QUOTED), split_fields(raw))).withColumn("record", read)
+    # exploding an array of one keeps filters above from being pushed into, and so repeating, the split
+    split = F.when(raw.rlike(WELL_QUOTED), split_fields(raw))
+    out = lines.withColumn("_fields", F.explode(F.array(split))).withColumn("record", read)
     f = [F.element_at("_fields", k + 1) for k in range(5)]
     bytes_ = F.octet_length(f[1])
     good = (
@@ -61,7 +63,7 @@ def classify(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
         .when(F.size("_fields") != 5, "columns")
         .when(~F.coalesce(good, F.lit(False)), "value")
     )
-    return out.withColumn("reason_code", reason)
+    return out.withColumn("reason_code", F.explode(F.array(reason)))
 
 
 def bad_lines(lines: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
