@@ -148,6 +148,8 @@ def garbling_cost(text: str) -> float:
                     cost += 0.9
             elif sides == 2:
                 cost += 2.0
+            elif before[0] == "S" or after[0] == "S":
+                cost += 0.7
             elif before[0] in "A" and before[2] == "u" and i and text[i] in "…‘’“”–—":
                 cost += 1.2
         if script == "A":
@@ -161,7 +163,7 @@ def garbling_cost(text: str) -> float:
                 cost += 1.6
         elif script in "CG":
             if case == "u" and before[0] == script:
-                cost += 1.5 if before[2] == "l" else 0.25
+                cost += 1.5 if before[2] == "l" else 0.1
             elif case == "l" and before[0] == script and before[2] == "u" and i > 1 and kinds[i - 2][0] == script:
                 cost += 1.0
         letter, prior = script in "LACGKHOZ", before[0] in "LACGKHOZ"
