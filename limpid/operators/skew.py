@@ -50,7 +50,8 @@ def percentiles(weighted: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     return wanted.where(hit | first).groupBy("key", "p").agg(F.min("value").alias("value"))
 
 
-def heavy_keys(profiled: DataFrame, share: float) -> DataFrame:
-    """The keys with at least share of all rows of the profile; the total is one scalar subquery over the per-key rows."""
-    total = profiled.agg(F.sum("n_rows").alias("t")).scalar()
+def heavy_keys(profiled: DataFrame, share: float, rows: DataFrame | None = None) -> DataFrame:
+    """The keys with at least share of all rows. The total is one scalar subquery: over rows where those are
+    given (a plain count of the scan, without a shuffle), else over the profile."""
+    total = (rows.agg(F.count(F.lit(1)).alias("t")) if rows is not None else profiled.agg(F.sum("n_rows").alias("t"))).scalar()
     return profiled.where(F.col("n_rows") >= F.lit(share) * total)

@@ -22,7 +22,7 @@ def _host_profile(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ulp_records").where(urls.present(F.col("url")))
     profiled = skew.profile(skew.compress(rows, urls.authority_host(F.col("url")), F.col("username")))
-    return skew.heavy_keys(profiled, 0.01).where(F.col("key").isNotNull()).select(F.col("key").alias("host"))
+    return skew.heavy_keys(profiled, 0.01, rows).where(F.col("key").isNotNull()).select(F.col("key").alias("host"))
 
 
 def p5_hosts(spark: SparkSession, d: str) -> DataFrame:
