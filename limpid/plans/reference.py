@@ -216,7 +216,7 @@ query(
     lambda s, d: table(s, d, "ulp_records").where(F.col("username").contains("@")).select("record_id", urls.email_domain(F.col("username")).alias("domain"), text.keyed_hash(urls.clean_email(F.col("username")), KEY).alias("address_hmac"))
 )
 _CLEAN = _U7.format("(" + _U5.format("(" + _U1 + ")") + ")")
-_each("U9_clean", "ulp_records", "record_id", "url", urls.clean, _CLEAN, "clean_url")
+_each("U_clean", "ulp_records", "record_id", "url", urls.clean, _CLEAN, "clean_url")
 
 # ---------------------------------------------------------------- 2.5 predicates
 
@@ -226,12 +226,18 @@ _each("V2_url_pattern", "ulp_records", "record_id", "url", parse.valid_url, _VAL
 _each("V3_length", "ulp_records", "record_id", "username", lambda c: urls.fits(c, 1, 128), "octet_length(encode(username)) between 1 and 128")
 query("V5_no_url", f"select record_id from ulp_records where url is null or {_BLANK.format('url')}")(lambda s, d: table(s, d, "ulp_records").where(~F.coalesce(urls.present(F.col("url")), F.lit(False))).select("record_id"))
 _URL_REASON = f"case when url is null or {_BLANK.format('url')} then 'empty' when octet_length(encode(url)) > 2048 then 'too_long' when coalesce({_SCHEME.format('url')} not in ({_SCHEMES}), true) then 'scheme' when not {_VALID.format('url')} then 'pattern' end"
-query("V6_url_reasons", f"with j as (select {_URL_REASON} as reject_reason from ulp_records) select reject_reason, count(*) as n from j where reject_reason is not null group by reject_reason")(
+query("V_url_reasons", f"with j as (select {_URL_REASON} as reject_reason from ulp_records) select reject_reason, count(*) as n from j where reject_reason is not null group by reject_reason")(
     lambda s, d: validate.by_reason(table(s, d, "ulp_records").withColumn("reject_reason", validate.url_reason(F.col("url"), known_only=True)))
 )
 
 # ---------------------------------------------------------------- 2.6 aggregation and dedup
 
+query(
+    "A1_counts",
+    f"""
+    with j as (select url, case when url is null or {_BLANK.format("url")} then 'empty' when octet_length(encode(url)) > 2048 then 'too_long' when not {_VALID.format("url")} then 'pattern' end as r from ulp_records)
+    select count(*) as n_lines, count(*) filter (r is null) as n_kept, count(*) filter (r = 'empty') as n_empty, count(*) filter (r <> 'empty') as n_rejected, sum(octet_length(encode(url)))::bigint as n_bytes from j""",
+)(lambda s, d: validate.run_statistics(table(s, d, "ulp_records").select("url", validate.url_reason(F.col("url")).alias("reject_reason")), "url"))
 query("A2_reasons", _JUDGED + "select reject_reason, count(*) as n from j where reject_reason is not null group by reject_reason")(lambda s, d: validate.by_reason(_lines(s, d)))
 query(
     "A3_first_url",
@@ -244,7 +250,7 @@ query("A3_content", f"select {_CONTENT} as key, min(doc_id) as first, count(*) a
     lambda s, d: dedup.copies(table(s, d, "documents"), F.sha2(lines.trim(lines.line_ends(F.col("text"))), 256), "doc_id")
 )
 query(
-    "A5_hosts",
+    "A_hosts",
     f"""
     with c as (select {_CLEAN} as url from ulp_records), v as (select url from c where {_VALID.format("url")})
     select {_U4.format("url")} as host, count(*) as n_urls from v group by 1""",
