@@ -11,7 +11,7 @@ Spark plan: (hash, record id) is aggregated with a map-side combine to the group
 more; only the rows of those groups meet their texts, in a join that adaptive execution splits where
 a group is hot; nothing is collected per group.
 
-Defined results: rows in which a field is null, or blank once white space is trimmed, take no part;
+Defined results: rows in which the id or a field is null, or a field blank once white space is trimmed, take no part;
 a field of punctuation only is an empty text, equal to any other such; repeated ids count as rows of
 their own for the copies and are reported as members by id.
 """
@@ -137,7 +137,7 @@ def present(c: Column) -> Column:
 
 def keyed(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     """(record_id, a, b, k1, k2) of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(a).alias("a"), F.col(b).alias("b")).where(present(F.col("a")) & present(F.col("b")))
+    rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("record_id").isNotNull() & present(F.col("a")) & present(F.col("b")))
     udf = F.pandas_udf(_hash_batches, "k1 bigint, k2 bigint")
     return rows.withColumn("k", udf("a", "b")).select("record_id", "a", "b", "k.k1", "k.k2")
 
@@ -179,6 +179,6 @@ def collapse(df: DataFrame, id_col: str = "record_id", a: str = "url", b: str =
     """One row per record: its first id, that row's two fields, and the number of copies (1 for a record without duplicates)."""
     found = members(df, id_col, a, b).checkpoint()
     copies = found.groupBy(F.col("first_record_id").alias("record_id")).agg((F.count(F.lit(1)) + 1).alias("n_copies"))
-    rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(a).alias(a), F.col(b).alias(b)).where(present(F.col(a)) & present(F.col(b)))
+    rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(a).alias(a), F.col(b).alias(b)).where(F.col("record_id").isNotNull() & present(F.col(a)) & present(F.col(b)))
     kept = rows.join(found.select("record_id"), "record_id", "left_anti").join(copies, "record_id", "left")
     return kept.select(F.col("record_id").alias("first_record_id"), a, b, F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

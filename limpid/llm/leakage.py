@@ -13,7 +13,7 @@ blocks of at most ``block_words`` words, so that what travels to the tasks is bo
 one map over the documents and the results are united.
 
 Defined results: null and empty texts contain nothing; items with fewer words than the window cannot
-leak; items with equal text leak together; texts are searched whole.
+leak; items with equal text leak together; rows without an id are left out; texts are searched whole.
 """
 
 from __future__ import annotations
@@ -105,8 +105,8 @@ def _blocks(items: Iterator[tuple[int, str]], block_words: int) -> Iterator[list
 def leaks(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id): the document contains at least window consecutive words of the item."""
     schema = "doc_id bigint, item_id bigint"
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    stream = ((r[0], r[1]) for r in items.select(F.col(item_id).cast("bigint"), F.col(item_text)).where(F.col(item_text).isNotNull()).orderBy(item_id).toLocalIterator())
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    stream = ((r[0], r[1]) for r in items.select(F.col(item_id).cast("bigint"), F.col(item_text)).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).orderBy(item_id).toLocalIterator())
     out = None
     for block in _blocks(stream, block_words):
         engine = docs.sparkSession.sparkContext.broadcast(WuManber(block, window))

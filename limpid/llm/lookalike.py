@@ -11,7 +11,7 @@ Look-alikes are folded to the Latin letter wherever they occur, also in words of
 that the form does not depend on what surrounds a letter: texts are equal in it just if they read alike.
 
 Defined results: null stays null, empty stays empty; byte-equal rows are no pair; rows with a null
-field are in no pair; the form of a form is itself.
+field or id are in no pair; the form of a form is itself.
 """
 
 from __future__ import annotations

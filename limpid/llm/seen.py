@@ -9,7 +9,7 @@ What comes out of each micro-batch are the ids of first rows; every other row is
 anti-join on the unique id, which no key can skew. Memory does not grow with the keys: they lie in the
 store's files, and a restart from the checkpoint goes on where the last batch was committed.
 
-Defined results: rows in which a field is null, empty or blank take no part; within a micro-batch the
+Defined results: rows in which the id or a field is null, or a field empty or blank, take no part; within a micro-batch the
 row with the smaller id came earlier, across batches the row of the earlier batch; repeated ids are
 one row.
 """
@@ -66,6 +66,7 @@ def first_ids(spark: SparkSession, path: str, schema: T.StructType, id_col: str,
     rows = reader.parquet(_glob(path)).select(F.col(id_col).cast("bigint").alias("id"), *key_cols)
     for c in key_cols:
         rows = rows.where(present(F.col(c)))
+    rows = rows.where("id is not null")
     state = rows.groupBy(*key_cols).agg(F.min("id").alias("first_id"))
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -87,7 +88,7 @@ def decide(spark: SparkSession, path: str, id_col: str = "record_id", key_cols:
     """(id, repeat): for every row that takes part, whether its key had arrived before."""
     table = spark.read.parquet(path)
     first = first_ids(spark, path, table.schema, id_col, list(key_cols), **options)
-    rows = table.select(F.col(id_col).cast("bigint").alias(id_col), *key_cols)
+    rows = table.select(F.col(id_col).cast("bigint").alias(id_col), *key_cols).where(F.col(id_col).isNotNull())
     for c in key_cols:
         rows = rows.where(present(F.col(c)))
     return rows.select(id_col).join(first.withColumn("new", F.lit(True)), F.col(id_col) == F.col("first_id"), "left").select(id_col, F.col("new").isNull().alias("repeat"))

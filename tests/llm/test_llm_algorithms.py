@@ -69,7 +69,7 @@ def expected(rows):
 def test_members_against_brute_force(spark):
     r = random.Random(4)
     rows = [(i, r.choice(FORMS), r.choice(FORMS)) for i in range(1200)]
-    df = spark.createDataFrame(rows, "record_id int, url string, username string").withColumns({"k1": F.lit(1), "a": F.lit("clash"), "first_record_id": F.lit(0)})
+    df = spark.createDataFrame([*rows, (None, "Ann.Lee", "annlee")], "record_id int, url string, username string").withColumns({"k1": F.lit(1), "a": F.lit("clash"), "first_record_id": F.lit(0)})
     got = {tuple(x) for x in formatting.members(df).collect()}
     assert got == expected(rows) and got
     collapsed = {x.first_record_id: x.n_copies for x in formatting.collapse(df).collect()}
@@ -107,7 +107,7 @@ def write(spark, rows, path, parts=3):
 def test_seen_against_brute_force(spark, tmp_path):
     r = random.Random(6)
     rows = [(i, r.choice(["u", "v", "", None, " "]) if r.random() < 0.6 else f"u{r.randrange(60)}", r.choice(["p", "P", None, "q"])) for i in range(1500)]
-    write(spark, rows, f"{tmp_path}/t.parquet")
+    write(spark, [*rows, (None, "u", "p"), (None, "zz", "p")], f"{tmp_path}/t.parquet")
     first, want = {}, {}
     for i, u, n in rows:
         if u and n and u.strip() and n.strip():
@@ -180,6 +180,8 @@ def test_pack_edges(spark):
     df = spark.createDataFrame([(1, 0)], "id bigint, n bigint")
     assert packing.pack(df.limit(0), "id", F.col("n"), 10).count() == 0
     assert packing.pack(df, "id", F.col("n"), 10).first().container is None
+    big = spark.createDataFrame([(2**60 + 1, 3), (None, 4)], "id bigint, n bigint")
+    assert {(r.id, r.size) for r in packing.pack(big, "id", F.col("n"), 10).collect()} == {(2**60 + 1, 3), (None, 4)}
     same = spark.createDataFrame([(1, 6)] * 5 + [(1, 4)] * 5, "id bigint, n bigint")
     used = packing.usage(packing.pack(same, "id", F.col("n"), 10), 10).first()
     assert 5 <= used.n_containers <= 6 and used.n_tokens == 50
