@@ -11,8 +11,9 @@ the vote patterns are counted with a map-side combine and at most 3**LABELERS of
 reach the driver, whatever the corpus; the classifier is fitted on a sample of bounded size
 (``train_rows``) and scores every candidate in a map. Texts are read whole and never shuffled.
 
-Defined results: null and empty texts have no spans and come out as they are; equal spans of a
-document are reported once; a span is never reported under two types.
+Defined results: null and empty texts have no spans and come out as they are; texts without an id
+are redacted but not reported; equal spans of a document are reported once; a span is never reported
+under two types.
 """
 
 from __future__ import annotations
@@ -444,29 +445,37 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) ->
     return posterior
 
 
-def _features(votes: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Dense rows: bias, votes for, votes against, hashed context (one bucket of three tables each)."""
-    n = len(votes)
-    x = np.zeros((n, 1 + 2 * LABELERS + 3 * BUCKETS), dtype=np.float32)
-    x[:, 0] = 1
-    x[:, 1 : 1 + LABELERS] = votes > 0
-    x[:, 1 + LABELERS : 1 + 2 * LABELERS] = votes < 0
+def _logit(w: np.ndarray, dense: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Bias, votes for and against (dense), and one weight from each of three tables of hashed context."""
     base = 1 + 2 * LABELERS
+    z = w[0] + dense @ w[1:base]
     for k in range(3):
-        x[np.arange(n), base + k * BUCKETS + context[:, k]] = 1
-    return x
+        z = z + w[base + k * BUCKETS + context[:, k]]
+    return z
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _dense(votes: np.ndarray) -> np.ndarray:
+    return np.concatenate([votes > 0, votes < 0], axis=1).astype(float)
 
 
 def fit(votes: np.ndarray, context: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights of a logistic span classifier under soft labels."""
-    x = _features(votes, context)
-    w = np.zeros(x.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    """Weights of a logistic span classifier under soft labels, by Adam; the context tables are never expanded."""
+    dense, n, base = _dense(votes), len(votes), 1 + 2 * LABELERS
+    w = np.zeros(base + 3 * BUCKETS)
+    m, v, g = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     decay = np.full_like(w, 2e-3)
-    decay[1 + 2 * LABELERS :] = 2e-2  # the context may only tip the scales
+    decay[base:] = 2e-2  # the context may only tip the scales
     for t in range(1, rounds + 1):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - target) / len(x) + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        error = _sigmoid(_logit(w, dense, context)) - target
+        g[0], g[1:base] = error.sum(), error @ dense
+        for k in range(3):
+            g[base + k * BUCKETS : base + (k + 1) * BUCKETS] = np.bincount(context[:, k], error, BUCKETS)
+        step = g / n + decay * w
+        m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step * step
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
@@ -497,7 +506,8 @@ def candidate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     rows += [(i, b, e, t, text[b:e], _encode(v), *_context(text, b, e)) for b, e, t, v in candidates(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "begin", "finish", "pii_type", "pii_text", "pattern", "c0", "c1", "c2"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, _CANDIDATE)
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(run, _CANDIDATE)
 
 
 def train(spans: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
@@ -525,14 +535,10 @@ def train(spans: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarra
 def score(models: dict[str, np.ndarray], kinds: np.ndarray, patterns: np.ndarray, context: np.ndarray) -> np.ndarray:
     out = np.zeros(len(kinds))
     votes = _decode(patterns.astype(np.int64))
-    base = 1 + 2 * LABELERS
     for kind, w in models.items():
         k = np.flatnonzero(kinds == kind)
         if len(k):
-            z = w[0] + (votes[k] > 0) @ w[1 : 1 + LABELERS] + (votes[k] < 0) @ w[1 + LABELERS : base]
-            for j in range(3):
-                z = z + w[base + j * BUCKETS + context[k, j]]
-            out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            out[k] = _sigmoid(_logit(w, _dense(votes[k]), context[k]))
     return out
 
 
@@ -569,7 +575,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             rows = [redact_text(models, t, threshold) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "redacted": [r[0] for r in rows], "n_spans": [r[1] for r in rows]})
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, redacted string, n_spans int")
+    # the id travels as text, since pandas would turn whole numbers beside a null into floats
+    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, redacted string, n_spans int")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def redact_text(models: dict[str, np.ndarray], text: str | None, threshold: float = 0.5) -> tuple[str | None, int]:

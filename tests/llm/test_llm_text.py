@@ -122,10 +122,10 @@ def test_leaks(spark):
         (1, "+# If no LATTICE\r\n+# fits the mossy--notebook, the ferry\n-swaps an aqueduct // instead"),
         (2, " ".join(words[1:13])),
         (3, " ".join(words[1:14])),
-        (4, None), (5, ""), (6, "x " * 50_000 + item), (7, item.replace("mossy", "old")), (3, item),
+        (4, None), (5, ""), (6, "x " * 50_000 + item), (7, item.replace("mossy", "old")), (3, item), (None, item),
     ]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(0))
-    i = spark.createDataFrame([(10, item), (11, item), (12, "too short"), (13, None)], "item_id bigint, text string")
+    i = spark.createDataFrame([(10, item), (11, item), (12, "too short"), (13, None), (None, item)], "item_id bigint, text string")
     got = sorted((x.doc_id, x.item_id) for x in leakage.leaks(d, i).collect())
     assert got == sorted((a, b) for a in (1, 3, 3, 6) for b in (10, 11))
     # the items in several blocks find the same
@@ -163,16 +163,17 @@ GOOD = [
 
 
 def test_personal_data(spark):
-    rows = [(i * 100 + k, f"intro\n{t}\r\nend") for i, (t, _) in enumerate(GOOD) for k in range(8)] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "x y\n" * 30_000)]
+    rows = [(i * 100 + k, f"intro\n{t}\r\nend") for i, (t, _) in enumerate(GOOD) for k in range(8)] + [(None, "Mail a.b@c.example"), (2**60 + 1, "plain"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, "x y\n" * 30_000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("pii_type", F.lit("clash"))
     found = {}
     for r in pii.find_personal(df).collect():
         found.setdefault(r.doc_id, set()).add((r.pii_type, r.pii_text))
     for i, (text, want) in enumerate(GOOD):
         assert found.get(i * 100, set()) == want, text
-    assert not any(d >= 10**6 for d in found)
+    assert not any(d is None or d >= 10**6 for d in found)
     redacted = {r.doc_id: (r.redacted, r.n_spans) for r in pii.redact(df).collect()}
     assert redacted[500] == ("intro\nCall [PHONE] when the job hangs.\r\nend", 1)
+    assert redacted[None] == ("Mail [EMAIL]", 1) and redacted[2**60 + 1] == ("plain", 0)
     assert redacted[10**6] == (None, 0) and redacted[10**6 + 1] == ("", 0)
     for i, (text, want) in enumerate(GOOD):
         out = redacted[i * 100][0]
