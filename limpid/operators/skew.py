@@ -32,22 +32,26 @@ def profile(weighted: DataFrame) -> DataFrame:
 def percentiles(weighted: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     """(key, p, value): exact lower percentiles of non-null weighted values, the least value whose cumulated weight reaches p.
 
-    A window over a heavy key would gather all its distinct values in one task. Values are therefore
-    cut into ranges first: weights are cumulated within (key, range) and, over the few ranges of a
-    key, from range to range.
+    A window over a heavy key would gather all its distinct values in one task. Values are therefore cut
+    into slices (a few thousand by magnitude), whose weights are cumulated per key; the slice that a
+    percentile falls into is cut once more, evenly between its ends; only the values of one such part,
+    some 1e-5 of the key's, are put in order.
     """
-    ranged = weighted.where(F.col("value").isNotNull())
-    v = F.col("value").cast("double")
-    ranged = ranged.withColumn("slice", F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * 64))  # monotone, a few thousand slices at most
-    per_slice = ranged.groupBy("key", "slice").agg(F.sum("n").alias("slice_n"))
-    w = Window.partitionBy("key").orderBy("slice")
-    per_slice = per_slice.select("key", "slice", (F.sum("slice_n").over(w) - F.col("slice_n")).alias("before"), F.sum("slice_n").over(Window.partitionBy("key")).alias("total"))
-    inner = Window.partitionBy("key", "slice").orderBy("value")
-    cumulated = ranged.withColumn("within", F.sum("n").over(inner)).join(per_slice, ["key", "slice"]).select("key", "value", (F.col("before") + F.col("within")).alias("upto"), "n", "total")
-    wanted = cumulated.select("key", "value", "upto", "n", "total", F.explode(F.array(*[F.lit(float(p)) for p in levels])).alias("p"))
-    hit = (F.col("upto") >= F.col("p") * F.col("total")) & ((F.col("upto") - F.col("n")) < F.col("p") * F.col("total"))
-    first = (F.col("p") <= 0) & (F.col("upto") == F.col("n"))
-    return wanted.where(hit | first).groupBy("key", "p").agg(F.min("value").alias("value"))
+    value = F.col("value").cast("double")
+    rows = weighted.where(F.col("value").isNotNull()).withColumn("slice", F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * 64))  # monotone
+    cut = rows.groupBy("key", "slice").agg(F.sum("n").alias("w"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    along = Window.partitionBy("key").orderBy("slice")
+    cut = cut.select("key", "slice", "w", "lo", "hi", (F.sum("w").over(along) - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy("key")).alias("total"))
+    cut = cut.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in levels]))).withColumn("need", F.greatest(F.col("p") * F.col("total"), F.lit(0.5)))
+    wanted = cut.where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("w"))).drop("w", "total")
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((value - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1000)).otherwise(0)
+    inside = rows.join(wanted, ["key", "slice"]).select("key", "p", "value", "n", "before", "need", part.alias("part"))
+    fine = inside.groupBy("key", "p", "part", "before", "need").agg(F.sum("n").alias("w"))
+    fine = fine.withColumn("before", F.col("before") + F.sum("w").over(Window.partitionBy("key", "p").orderBy("part")) - F.col("w"))
+    fine = fine.where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("w"))).drop("w")
+    last = inside.drop("before", "need").join(fine, ["key", "p", "part"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("key", "p").orderBy("value"))
+    return last.withColumn("upto", upto).where(F.col("upto") >= F.col("need")).groupBy("key", "p").agg(F.min("value").alias("value"))
 
 
 def heavy_keys(profiled: DataFrame, share: float, rows: DataFrame | None = None) -> DataFrame:
