@@ -12,8 +12,8 @@ reach the driver, whatever the corpus; the classifier is fitted on a sample of b
 (``train_rows``) and scores every candidate in a map. Texts are read whole and never shuffled.
 
 Defined results: null and empty texts have no spans and come out as they are; texts without an id
-are redacted but not reported; equal spans of a document are reported once; a span is never reported
-under two types.
+are redacted but not reported; equal spans of a document are reported once, under the likeliest
+type.
 """
 
 from __future__ import annotations
@@ -554,12 +554,12 @@ def _accepted(spans: DataFrame, models: dict[str, np.ndarray], threshold: float)
 def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, pii_type, pii_text: one row per document and distinct text that the span classifier accepts.
 
-    A span accepted as two kinds of number keeps the likelier one.
+    A text accepted as two kinds of number in one document keeps the likelier one.
     """
     spans = candidate_spans(df, id_col, text_col).checkpoint()
     accepted = _accepted(spans, train(spans, train_rows), threshold)
-    best = accepted.groupBy("doc_id", "begin", "finish", "pii_text").agg(F.max_by("pii_type", "score").alias("pii_type"))
-    return best.select("doc_id", "pii_type", "pii_text").distinct()
+    best = accepted.groupBy("doc_id", "pii_text").agg(F.max(F.struct("score", "pii_type")).alias("best"))
+    return best.select("doc_id", F.col("best.pii_type").alias("pii_type"), "pii_text")
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
