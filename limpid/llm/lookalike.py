@@ -120,13 +120,18 @@ def consistent(df: DataFrame, *cols: str) -> DataFrame:
 def same_reading_pairs(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     """(id_a, id_b), smaller id first: rows whose two fields read the same while at least one is stored differently.
 
-    Groups with a single spelling are dropped before the join; the join is on the group and keeps only
-    unequal spellings, so exact copies are never paired with each other.
+    Groups with a single spelling are dropped. Pairs are formed between spellings first and rows are joined to
+    them afterwards, so that exact copies, however many, are never compared with each other: the joins produce
+    just the rows of the result.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    rows = df.select(F.col(id_col).alias("id"), F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("id").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
     rows = rows.withColumns({"ka": canonical_form(F.col("a")), "kb": canonical_form(F.col("b"))})
-    spellings = rows.groupBy("ka", "kb", "a", "b").agg(F.lit(1).alias("one")).groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ka", "kb")
-    inside = rows.join(spellings, ["ka", "kb"], "left_semi").checkpoint()
-    x, y = inside.alias("x"), inside.alias("y")
-    on = (F.col("x.ka") == F.col("y.ka")) & (F.col("x.kb") == F.col("y.kb")) & (F.col("x.id") < F.col("y.id")) & ((F.col("x.a") != F.col("y.a")) | (F.col("x.b") != F.col("y.b")))
-    return x.join(y, on).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    several = rows.groupBy("ka", "kb", "a", "b").agg(F.lit(1).alias("one")).groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ka", "kb")
+    inside = rows.join(several, ["ka", "kb"], "left_semi").checkpoint()
+    spellings = inside.select("ka", "kb", "a", "b").distinct()
+    x, y = spellings.alias("x"), spellings.alias("y")
+    on = (F.col("x.ka") == F.col("y.ka")) & (F.col("x.kb") == F.col("y.kb")) & (F.struct("x.a", "x.b") < F.struct("y.a", "y.b"))
+    two = x.join(y, on).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.a").alias("c"), F.col("y.b").alias("d"))
+    one_side = inside.select("id", "a", "b").join(two, ["a", "b"]).select(F.col("id").alias("one"), "c", "d")
+    both = one_side.join(inside.select(F.col("id").alias("other"), F.col("a").alias("c"), F.col("b").alias("d")), ["c", "d"])
+    return both.where("one <> other").select(F.least("one", "other").alias("id_a"), F.greatest("one", "other").alias("id_b"))

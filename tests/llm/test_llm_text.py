@@ -98,6 +98,14 @@ def test_pairs_against_brute_force(spark):
     assert lookalike.same_reading_pairs(df.limit(0), "id", "url", "name").count() == 0
 
 
+def test_pairs_of_many_copies(spark):
+    # 200,000 copies of one spelling would make 2 * 10**10 comparisons among themselves
+    many = spark.range(200_000).select("id", F.lit("http://a").alias("url"), F.lit("ann").alias("name"))
+    one = spark.createDataFrame([(200_000, "http://a", "аnn")], "id bigint, url string, name string")
+    got = lookalike.same_reading_pairs(many.unionByName(one), "id", "url", "name")
+    assert got.agg(F.count(F.lit(1)), F.min("id_b"), F.countDistinct("id_a")).first() == (200_000, 200_000, 200_000)
+
+
 # ---------------------------------------------------------------- leakage
 
 
