@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed: the default pattern of an e-mail address.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 #: Fixed: schemes of URLs that are looked for in lines.
 FIND_SCHEMES = (

@@ -1,9 +1,10 @@
 """Problem 6: rows that fail to parse, apart with the reason, and the valid ones typed.
 
-The line is read permissively under an explicit schema that retains corrupt text. The reader
-forgives more than the rules allow (a quote inside an unquoted field, say), so what it could not
-read *and* what it forgave is reclassified by the rules: quoting, then number of columns, then
-casts and checks of values. All of it is built-in expressions in one projection; no shuffle.
+The line is read permissively under an explicit schema that retains corrupt text. Lines that the
+reader calls corrupt are taken apart again and reclassified: quoting, then number of columns, then
+casts and checks of values. Of lines that it could read, the typed fields are checked by the rules,
+and the raw text for what the reader forgives (a quote inside an unquoted field, a sign before a
+number, the 30th of February). All of it is built-in expressions over one row; no shuffle.
 
 Defined results: a null line has no fields, hence ``columns``; so has an empty one (one empty
 field); lines of any length are judged whole; duplicates are judged alike.
@@ -20,7 +21,11 @@ FIELDS = ("url", "username", "first_seen", "source_id", "hits")
 _FIELD = r'"(?:[^"]|"")*+"|[^",]*+'
 WELL_QUOTED = rf"(?s)^(?:{_FIELD})(?:,(?:{_FIELD}))*+\z"
 EACH_FIELD = rf'(?s),("(?:[^"]|"")*+"|[^",]*+)'
+#: Fixed: the rule of V2; \w is restricted to ASCII.
 URL_RULE = r"(?s)^[\w&&[^\x80-\x{10FFFF}]]+://[A-Za-z0-9.\-]+(?::[0-9]{1,5})?(?:/.*)?\z"
+_TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
+#: The last three fields as they must stand in a line, quoted or not.
+TAIL_RULE = rf'(?s),("?)({_TIME})\1,("?)[0-9]*\3,("?)[0-9]*[1-9][0-9]*\4\z'
 TIME_RULE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
 
@@ -44,25 +49,26 @@ def classify(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     """The rows with ``record`` (typed struct) and ``reason_code`` (null for good lines)."""
     raw = F.col(raw_col)
     read = F.from_csv(raw, F.lit(f"{LINE_SCHEMA}, corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
-    # exploding an array of one keeps filters above from being pushed into, and so repeating, the split
-    split = F.when(raw.rlike(WELL_QUOTED), split_fields(raw))
-    out = lines.withColumn("_fields", F.explode(F.array(split))).withColumn("record", read)
+    # exploding an array of one keeps filters above from being pushed into, and so repeating, what is exploded
+    out = lines.withColumn("record", F.explode(F.array(read)))
+    r = F.col("record")
+    # of a line without any text the reader makes a row of nulls, and it drops NUL, without calling either corrupt
+    corrupt = r.isNull() | r["corrupt"].isNotNull() | raw.rlike(r"\p{Cc}") | (r["url"].isNull() & r["username"].isNull() & r["first_seen"].isNull())
+    quoted = raw.rlike(WELL_QUOTED)
+    out = out.withColumn("_fields", F.explode(F.array(F.when(corrupt & quoted, split_fields(raw)))))
+    typed = valid_url(r["url"]) & F.octet_length(r["username"]).between(1, 128) & valid_time(F.regexp_extract(raw, TAIL_RULE, 2))
     f = [F.element_at("_fields", k + 1) for k in range(5)]
-    bytes_ = F.octet_length(f[1])
-    good = (
+    again = (
         valid_url(f[0])
-        & bytes_.between(1, 128)
+        & F.octet_length(f[1]).between(1, 128)
         & ~f[1].rlike(r"\p{Cc}")
         & valid_time(f[2])
         & f[3].rlike(r"^[0-9]*\z")
         & f[4].rlike(r"^[0-9]*[1-9][0-9]*\z")
     )
-    reason = (
-        F.when(raw.isNull(), "columns")
-        .when(F.col("_fields").isNull(), "quoting")
-        .when(F.size("_fields") != 5, "columns")
-        .when(~F.coalesce(good, F.lit(False)), "value")
-    )
+    forgiven = F.when(~quoted, "quoting").when(~F.coalesce(typed, F.lit(False)), "value")
+    reclassified = F.when(F.col("_fields").isNull(), "quoting").when(F.size("_fields") != 5, "columns").when(~F.coalesce(again, F.lit(False)), "value")
+    reason = F.when(raw.isNull(), "columns").when(corrupt, reclassified).otherwise(forgiven)
     return out.withColumn("reason_code", F.explode(F.array(reason)))
 
 
@@ -74,13 +80,10 @@ def bad_lines(lines: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
 def good_lines(lines: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
     """The valid lines as typed rows: the id and the five fields.
 
-    The strings come from the exact split, which equals the reader's on well-quoted lines but for edge
-    cases such as a quoted empty field; the typed values from the permissive reading.
+    A good line that the reader could not take in (digits beyond its number type) gets its fields from the second look.
     """
     rows = classify(lines.select(id_col, raw_col), raw_col).where(F.col("reason_code").isNull())
-    typed = {
-        "url": F.element_at("_fields", 1), "username": F.element_at("_fields", 2),
-        "first_seen": F.coalesce("record.first_seen", F.try_to_timestamp(F.replace(F.element_at("_fields", 3), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")),
-        "source_id": F.element_at("_fields", 4).try_cast("decimal(38,0)"), "hits": F.element_at("_fields", 5).try_cast("decimal(38,0)"),
-    }
-    return rows.select(id_col, *[c.alias(n) for n, c in typed.items()])
+    f = [F.element_at("_fields", k + 1) for k in range(5)]
+    time = F.try_to_timestamp(F.replace(f[2], F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    again = [f[0], f[1], time, f[3].try_cast("decimal(38,0)"), f[4].try_cast("decimal(38,0)")]
+    return rows.select(id_col, *[F.when(F.col("_fields").isNotNull(), a).otherwise(F.col(f"record.{n}")).alias(n) for n, a in zip(FIELDS, again, strict=True)])

@@ -56,7 +56,7 @@ LINES = [
     "http://a.b/c,joe,2024-01-02T03:04:05,7,1", '"http://a.b/c,d","jo""e",2024-01-02T03:04:05,,"3"', "", None, '"', 'a"b,c,d,e,f', '"a"b,c,d,e,f', ',,,,', "a,b,c,d", "a,b,c,d,e,f",
     "http://a.b,joe,2024-02-30T03:04:05,7,1", "http://a.b,joe,2024-02-29T24:00:00,7,1", "http://a.b,joe,2023-02-29T01:00:00,7,1", "http://a.b,joe,2024-01-02 03:04:05,7,1", "http://a.b,joe,2024-01-02T03:04:05,7,0",
     "http://a.b,joe,2024-01-02T03:04:05,-7,1", "http://a.b,joe,2024-01-02T03:04:05,7,+1", "http://a.b,joe,2024-01-02T03:04:05,7,007", "http://a_b,joe,2024-01-02T03:04:05,7,1", "http://a.b:123456,joe,2024-01-02T03:04:05,7,1",
-    "http://a.b?x,joe,2024-01-02T03:04:05,7,1", "http://a.b,,2024-01-02T03:04:05,7,1", f"http://a.b,{'é' * 65},2024-01-02T03:04:05,7,1", f"http://a.b,{'é' * 64},2024-01-02T03:04:05,7,1", "http://a.b,a\tb,2024-01-02T03:04:05,7,1",
+    "http://a.b?x,joe,2024-01-02T03:04:05,7,1", "http://a.b,,2024-01-02T03:04:05,7,1", f"http://a.b,{'é' * 65},2024-01-02T03:04:05,7,1", f"http://a.b,{'é' * 64},2024-01-02T03:04:05,7,1", "http://a.b,a\tb,2024-01-02T03:04:05,7,1", 'http://a.b,"a\x00b",2024-01-02T03:04:05,7,1', "http://a.b/\x00,ab,2024-01-02T03:04:05,7,1", "\n", " ",
     f"http://a.b/{'x' * 2037},joe,2024-01-02T03:04:05,7,1", f"http://a.b/{'x' * 2038},joe,2024-01-02T03:04:05,7,1", '"http://a.b/\n","j\noe",2024-01-02T03:04:05,7,1', ' "a",b,c,d,e', f"http://a.b,joe,2024-01-02T03:04:05,{'9' * 50},1",
     "http://a.b,joe,2024-01-02T03:04:05,7,1\n", "http://a.b,joe,2024-01-02T03:04:05,٣,1", "http://a.b,joe,9999-12-31T23:59:59,7,1", "http://a.b,joe,2024-01-02T03:04:60,7,1", '"a' + "b" * 200_000,
 ]
