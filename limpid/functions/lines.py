@@ -72,21 +72,24 @@ def guard_cell(text: Column) -> Column:
     return drop_controls(F.when(trimmed.rlike(r"^[=+@-]"), F.concat(F.lit("'"), trimmed)).otherwise(trimmed))
 
 
-def shape(text: Column) -> Column:
-    """url_first, www_first, slash_slash, leading_dot or unknown; lines under 4 bytes are unknown."""
-    head = F.lower(F.substring(text, 1, 16))
-    url = F.lit(False)
-    for p in URL_PREFIXES:
-        url = url | head.startswith(p)
-    return (
+_URL_FIRST = "(?i)^(?:" + "|".join(p.removesuffix("://") for p in URL_PREFIXES) + ")://"
+
+
+def _shape(text: Column, ip: Column | None = None) -> Column:
+    out = (
         F.when(text.isNull(), F.lit(None).cast("string"))
         .when(F.octet_length(text) < 4, "unknown")
-        .when(url, "url_first")
-        .when(head.startswith("www."), "www_first")
+        .when(text.rlike(_URL_FIRST), "url_first")
+        .when(text.rlike(r"(?i)^www\."), "www_first")
         .when(text.startswith("//"), "slash_slash")
         .when(text.rlike(r"(?s)^\.[^./]"), "leading_dot")
-        .otherwise("unknown")
     )
+    return (out if ip is None else out.when(ip, "ip_first")).otherwise("unknown")
+
+
+def shape(text: Column) -> Column:
+    """url_first, www_first, slash_slash, leading_dot or unknown; lines under 4 bytes are unknown."""
+    return _shape(text)
 
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -94,9 +97,7 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 def shape_or_ip(text: Column) -> Column:
     """As shape(), but ip_first where a line of no other shape begins with an IPv4 address up to a colon, slash or the end."""
-    s = shape(text)
-    ip = text.rlike(rf"(?s)^(?:{_OCTET}\.){{3}}{_OCTET}(?:[:/].*)?\z")
-    return F.when((s == "unknown") & ip, "ip_first").otherwise(s)
+    return _shape(text, text.rlike(rf"(?s)^(?:{_OCTET}\.){{3}}{_OCTET}(?:[:/].*)?\z"))
 
 
 def reject_reason(line: Column, most: int = MAX_LINE_BYTES, prefixes: tuple[str, ...] = SKIP_PREFIXES) -> Column:
@@ -106,11 +107,10 @@ def reject_reason(line: Column, most: int = MAX_LINE_BYTES, prefixes: tuple[str,
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for an empty text. A signal for redaction."""
-    chars = F.split(text, "", -1)
     n = F.length(text).cast("double")
-    total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + _term(F.size(F.filter(chars, lambda x: x == c)) / n, c))
-    return F.when(F.length(text) == 0, 0.0).otherwise(total)
 
+    def term(total: Column, c: Column) -> Column:
+        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
+        return total + F.when(c == "", 0.0).otherwise(-p * F.log2(p))
 
-def _term(p: Column, c: Column) -> Column:
-    return F.when(c == "", 0.0).otherwise(-p * F.log2(p))
+    return F.when(F.length(text) == 0, 0.0).otherwise(F.aggregate(F.array_distinct(F.split(text, "", -1)), F.lit(0.0), term))

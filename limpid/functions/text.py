@@ -62,7 +62,7 @@ def keyed_hash(text: Column, key: str) -> Column:
 REDACTIONS = (
     ("URL_LOGIN", r"://[^\s/@:]+:[^\s/@]+@", "://[URL_LOGIN]@"),
     ("EMAIL", EMAIL, "[EMAIL]"),
-    ("SECRET", r"""(?i)\b((?:[a-z0-9]+[_-])*(?:password|passwd|pwd|secret|token|api_?key|client_secret))(["']?\s*[:=]\s*["']?)[^\s"',;]{4,}""", "$1$2[SECRET]"),
+    ("SECRET", r"""(?i)((?:password|passwd|pwd|secret|token|api_?key)["']?\s*[:=]\s*["']?)[^\s"',;]{4,}""", "$1[SECRET]"),
     ("BEARER", r"(?i)\b(bearer\s+)[a-z0-9._~+/\-]{16,}=*", "$1[BEARER]"),
     ("CARD", r"\b(?:[0-9]{4}[ \-]){3}[0-9]{4}\b", "[CARD]"),
     ("IPV4", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IPV4]"),
