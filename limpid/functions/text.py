@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Fixed: the default pattern of an e-mail address.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+#: Finds the same as EMAIL: only where a run of its characters begins, and without going back in it.
+_EMAIL_ONCE = r"(?<![a-zA-Z0-9._%+\-])[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 #: Fixed: schemes of URLs that are looked for in lines.
 FIND_SCHEMES = (
     "http", "https", "ftp", "ftps", "sftp", "android", "socks5", "socks4", "ssh", "mysql", "mssql", "postgresql", "redis", "smtp", "imap", "pop3", "ldap", "vnc", "rdp", "telnet", "mongodb",
@@ -39,7 +41,7 @@ def first_url(line: Column, pattern: str | None = None) -> Column:
 
 def has_email(line: Column, pattern: str | None = None) -> Column:
     """P4."""
-    return line.rlike(pattern or email_pattern())
+    return line.rlike(pattern or _EMAIL_ONCE)
 
 
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -73,7 +75,7 @@ REDACTIONS = (
 def redact(text: Column) -> Column:
     """Secrets, login parts of URLs and simple personal data replaced by fixed markers; runs before any sink."""
     for _, pattern, marker in REDACTIONS:
-        text = F.regexp_replace(text, pattern, marker)
+        text = F.regexp_replace(text, _EMAIL_ONCE if pattern == EMAIL else pattern, marker)
     return text
 
 
