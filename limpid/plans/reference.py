@@ -283,4 +283,4 @@ def _stream_dedup(s: SparkSession, d: str) -> DataFrame:
 @query("T3_stream_windows")
 def _stream_windows(s: SparkSession, d: str) -> DataFrame:
     rows = hygiene.read(s, f"{d}/events.parquet", table(s, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    return hygiene.drain(hygiene.windowed_counts(rows, "ts", "1 hour", "1 day", "event_type"), "windows")
+    return hygiene.drain_last(hygiene.windowed_counts(rows, "ts", "1 hour", "1 day", "event_type"), "windows", ["window_start", "event_type"])

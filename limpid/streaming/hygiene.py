@@ -43,3 +43,25 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+
+def drain_last(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """As drain(), for an aggregate by keys: the last row of every key, those that the watermark has not passed included.
+
+    Append mode gives a window only once the watermark is behind it, which the newest windows never see. Here each
+    micro-batch writes the keys it touched (a repeated one overwrites), and of each key the latest is returned.
+    """
+    spark = stream.sparkSession
+    home = new_folder(spark, name)
+    out = f"{home}/out"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    if not query.lastProgress:  # nothing to read, so that no batch was written
+        return spark.createDataFrame([], stream.schema)
+    rest = [c for c in stream.columns if c not in keys]
+    last = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    return last.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*[F.col(c if c in keys else f"_last.{c}").alias(c) for c in stream.columns])
