@@ -5,8 +5,9 @@ checkpoints; no watermark, so no key ever expires. Keys are stored whole and com
 rate of wrong answers is 0; ``wrong_rate`` measures it. The stream aggregates with a map-side combine
 before its shuffle, so that a key that holds a third of all rows reaches the store as one row per task.
 
-What comes out of each micro-batch are the ids of first rows; every other row is a repeat, found by an
-anti-join on the unique id, which no key can skew. Memory does not grow with the keys: they lie in the
+What comes out of each micro-batch are the ids of first rows of the keys that are new in it; every other row
+is a repeat, found by an anti-join on the unique id, which no key can skew. A key is new if all its rows bear
+the time of one micro-batch, so that a smaller id that arrives later changes nothing. Memory does not grow with the keys: they lie in the
 store's files, and a restart from the checkpoint goes on where the last batch was committed.
 
 Defined results: rows in which the id or a field is null, or a field empty or blank, take no part; within a micro-batch the
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,15 +64,16 @@ def first_ids(spark: SparkSession, path: str, schema: T.StructType, id_col: str,
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.parquet(_glob(path)).select(F.col(id_col).cast("bigint").alias("id"), *key_cols)
+    # within a stream the time is that of the micro-batch, also when a batch is repeated after a failure
+    rows = reader.parquet(_glob(path)).select(F.col(id_col).cast("bigint").alias("id"), *key_cols, F.unix_micros(F.current_timestamp()).alias("batch_time"))
     for c in key_cols:
         rows = rows.where(present(F.col(c)))
     rows = rows.where("id is not null")
-    state = rows.groupBy(*key_cols).agg(F.min("id").alias("first_id"))
+    state = rows.groupBy(*key_cols).agg(F.min("id").alias("first_id"), F.min("batch_time").alias("since"), F.max("batch_time").alias("last"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        # a key that is touched again has the same first id again; overwriting makes a repeated batch harmless
-        batch.select("first_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # a key touched again is left out, its first id was written by the batch in which it was new; overwriting makes a repeated batch harmless
+        batch.where(F.col("since") == F.col("last")).select("first_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     with _settings(spark, _STORE):
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
@@ -99,13 +101,30 @@ def repeats(spark: SparkSession, path: str, id_col: str = "record_id", key_cols:
     return decide(spark, path, id_col, key_cols, **options).where("repeat").select(id_col)
 
 
-def wrong_rate(spark: SparkSession, path: str, id_col: str = "record_id", key_cols: tuple[str, ...] = ("url", "username")) -> DataFrame:
-    """One row: rows decided, repeats said, wrong answers of either kind against an exact batch count, and their rate."""
-    table = spark.read.parquet(path)
+def _file(path: Column) -> Column:
+    """A file's URI; without an authority it is written with one slash or with three."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):///", "$1:/").alias("file")
+
+
+def _arrivals(spark: SparkSession, home: str) -> DataFrame:
+    """(file, arrived): in which micro-batch a file was read, by the log of the stream's source."""
+    entry = F.from_json("value", "path string, batchId bigint")
+    log = spark.read.text(f"{home}/checkpoint/sources/0").where(F.col("value").startswith("{")).select(entry.alias("e"))
+    return log.groupBy(_file(F.col("e.path"))).agg(F.min("e.batchId").alias("arrived"))
+
+
+def wrong_rate(spark: SparkSession, path: str, id_col: str = "record_id", key_cols: tuple[str, ...] = ("url", "username"), checkpoint: str | None = None, max_files: int | None = None) -> DataFrame:
+    """One row: rows decided, repeats said, wrong answers of either kind against an exact batch count, and their rate.
+
+    The truth takes the order of the micro-batches from the log of files read, not from the state.
+    """
+    home = checkpoint or new_folder(spark, "seen")
+    said = decide(spark, path, id_col, key_cols, checkpoint=home, max_files=max_files)
+    rows = spark.read.parquet(path).select(_file(F.col("_metadata.file_path")), F.col(id_col).cast("bigint").alias("id"), *key_cols).where("id is not null")
     for c in key_cols:
-        table = table.where(present(F.col(c)))
-    truth = table.groupBy(*key_cols).agg(F.min(F.col(id_col).cast("bigint")).alias("true_id")).select("true_id")
-    said = decide(spark, path, id_col, key_cols)
+        rows = rows.where(present(F.col(c)))
+    arrived = rows.join(F.broadcast(_arrivals(spark, home)), "file")
+    truth = arrived.groupBy(*key_cols).agg(F.min(F.struct("arrived", "id")).alias("first")).select(F.col("first.id").alias("true_id"))
     both = said.join(truth, F.col(id_col) == F.col("true_id"), "left")
     wrong = F.count_if(F.col("repeat") != F.col("true_id").isNull())
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("repeat").alias("n_repeats"), wrong.alias("n_wrong"), (wrong / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("wrong_rate"))

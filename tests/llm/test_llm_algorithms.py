@@ -1,5 +1,6 @@
 """Frequent values, hidden duplicates, seen keys and packing."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -127,6 +128,26 @@ def test_seen_remembers_across_runs(spark, tmp_path):
     assert sorted(x.record_id for x in seen.repeats(spark, path, checkpoint=home).collect()) == [3, 5]
 
 
+def test_seen_with_falling_ids_over_batches(spark, tmp_path):
+    home, path = f"file://{tmp_path}/state", f"{tmp_path}/t t.parquet"
+    batches = [[(10, "u", "a"), (11, "u", "a"), (30, "u", "b")], [(5, "u", "a"), (31, "u", "c"), (6, "u", "b")], [(1, "u", "a"), (2, "u", "c"), (3, "u", "d")]]
+    seen_keys, want = set(), set()
+    for k, rows in enumerate(batches):
+        write(spark, rows, path, 1)
+        for f in (tmp_path / "t t.parquet").glob("*.parquet"):  # the stream takes files by their age
+            if not (tmp_path / f.name).exists():
+                (tmp_path / f.name).touch()
+                os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+        for i, u, n in sorted(rows):
+            want |= {i} if (u, n) in seen_keys else set()
+            seen_keys.add((u, n))
+        assert {x.record_id for x in seen.repeats(spark, path, checkpoint=home).collect()} == want
+    assert want == {11, 5, 6, 1, 2}
+    for options in ({"checkpoint": home}, {"max_files": 1}):
+        rate = seen.wrong_rate(spark, path, **options).first()
+        assert (rate.n_rows, rate.n_repeats, rate.n_wrong) == (9, 5, 0)
+
+
 def test_seen_single_file_and_nothing(spark, tmp_path):
     import pandas as pd
 
