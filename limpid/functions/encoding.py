@@ -41,7 +41,10 @@ def resolved(label: Column) -> Column:
 
 
 def detect_bytes(content: bytes | None, label: str = "auto", sample: int = SAMPLE_BYTES, fallback: str = FALLBACK) -> tuple[str | None, bool, bool]:
-    """(encoding, had_bom, confident). BOM, then a forced label, then strict UTF-8, then Windows-1252, then the fallback."""
+    """(encoding, had_bom, confident). BOM, then a forced label, then strict UTF-8, then Windows-1252, then the fallback.
+
+    UTF-8 is judged on the whole content; only the choice between legacy charsets is by a sample, from the first byte beyond ASCII on.
+    """
     if content is None:
         return None, False, False
     for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be")):
@@ -49,29 +52,32 @@ def detect_bytes(content: bytes | None, label: str = "auto", sample: int = SAMPL
             return name, True, True
     if label != "auto":
         return resolve_label(label), False, True
-    head = content[:sample]
-    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        decoder.decode(head, final=len(content) <= sample)
+        content.decode("utf-8")
         return "utf-8", False, True
     except UnicodeDecodeError:
         pass
+    first = next(i for i, b in enumerate(content) if b > 127)
     try:
-        head.decode("cp1252")
+        content[first : first + sample].decode("cp1252")
         return "windows-1252", False, True
     except UnicodeDecodeError:
         return fallback, False, False
 
 
 def detected(content: Column, label: str = "auto", sample: int = SAMPLE_BYTES, fallback: str = FALLBACK) -> Column:
-    """S4 as struct<encoding, had_bom, confident>; only the sample travels to Python."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for values in batches:
-            yield pd.DataFrame([detect_bytes(v, label, sample, fallback) for v in values], columns=["encoding", "had_bom", "confident"])
-
-    # one byte more than the sample tells that the content goes on
-    return F.pandas_udf(run, "encoding string, had_bom boolean, confident boolean")(F.substring(content, 1, sample + 1))
+    """S4 as struct<encoding, had_bom, confident>: the same as detect_bytes, as an expression."""
+    mark = bom(content)
+    if label != "auto":
+        name, sure = F.lit(resolve_label(label)), F.lit(True)
+    else:
+        utf8 = F.is_valid_utf8(content.cast("string"))
+        each = F.decode(content, "ISO-8859-1")  # a character per byte
+        legacy = F.substring(each, F.regexp_instr(each, F.lit(r"[^\x00-\x7F]")), F.lit(sample))
+        cp1252 = ~legacy.rlike(r"[\x81\x8D\x8F\x90\x9D]")
+        name, sure = F.when(utf8, "utf-8").when(cp1252, "windows-1252").otherwise(fallback), utf8 | cp1252
+    name, sure = F.when(content.isNotNull(), F.coalesce(mark, name)), mark.isNotNull() | F.coalesce(sure & content.isNotNull(), F.lit(False))
+    return F.struct(name.alias("encoding"), mark.isNotNull().alias("had_bom"), sure.alias("confident"))
 
 
 def decode_utf8(content: Column) -> Column:

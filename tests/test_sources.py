@@ -44,6 +44,19 @@ def test_detection_cases():
     assert encoding.detect_bytes("é".encode() * 5000, sample=8191)[0] == "utf-8"
 
 
+def test_detection_takes_the_whole_content(spark, tmp_path):
+    ascii_ = b"plain\n" * 2000
+    cases = [None, b"", b"a", ascii_, ascii_ + "é".encode(), ascii_ + b"\xe9t\xe9", ascii_ + b"\xc3", ascii_ + b"\xe9\x81", b"\x81\x8d", b"\xe9" + ascii_ + b"\x81", b"\xff\xfea\0", b"\xef\xbb\xbfa\xff", b"\xed\xa0\x80", b"\xc0\x80", b"\0\x7f"]
+    df = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in enumerate(cases)], "i int, c binary")
+    for label in ("auto", "latin-1"):
+        got = {r.i: tuple(r.d) for r in df.select("i", encoding.detected(F.col("c"), label).alias("d")).collect()}
+        assert got == {i: encoding.detect_bytes(c, label) for i, c in enumerate(cases)}
+    assert encoding.detect_bytes(cases[5]) == ("windows-1252", False, True)
+    (tmp_path / "late.txt").write_bytes(ascii_ + b"\xe9t\xe9")
+    last = [r.line for r in files.read_decoded(spark, str(tmp_path)).collect()][-1]
+    assert last == "été"
+
+
 def test_lossy(spark):
     df = spark.createDataFrame([(bytearray(b"a\xffb"), "utf-8"), (bytearray(b"\xe9"), "windows-1252"), (None, "utf-8")], "c binary, e string")
     got = df.select(encoding.decode_utf8(F.col("c")).alias("u"), encoding.decode_lossy(F.col("c"), F.col("e")).alias("d")).collect()
