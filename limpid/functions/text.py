@@ -20,9 +20,13 @@ FIND_SCHEMES = (
 )
 
 
-def url_pattern(schemes: tuple[str, ...] = FIND_SCHEMES, override: str | None = None) -> str:
-    """The pattern of a URL in running text, from configuration; an override is taken as it is and must compile."""
-    pattern = override or rf"(?i)(?:{'|'.join(map(re.escape, schemes))})://[^\s@,|{{}}\\]{{1,2048}}"
+def url_pattern(schemes: tuple[str, ...] | None = FIND_SCHEMES, override: str | None = None, most: int | None = 2048) -> str:
+    """The pattern of a URL in running text, from configuration; an override is taken as it is and must compile.
+
+    Without schemes any is found, without most a URL of any length.
+    """
+    scheme = "[a-z][a-z0-9+.\\-]*+" if schemes is None else f"(?:{'|'.join(map(re.escape, schemes))})"
+    pattern = override or rf"(?i){scheme}://[^\s@,|{{}}\\]{{1,{most or ''}}}"
     re.compile(pattern)
     return pattern
 
@@ -72,10 +76,10 @@ REDACTIONS = (
 )
 
 
-def redact(text: Column) -> Column:
-    """Secrets, login parts of URLs and simple personal data replaced by fixed markers; runs before any sink."""
+def redact(text: Column, email: str | None = None) -> Column:
+    """Secrets, login parts of URLs and simple personal data replaced by fixed markers; runs before any sink. email overrides the pattern of addresses."""
     for _, pattern, marker in REDACTIONS:
-        text = F.regexp_replace(text, _EMAIL_ONCE if pattern == EMAIL else pattern, marker)
+        text = F.regexp_replace(text, email or _EMAIL_ONCE if pattern == EMAIL else pattern, marker)
     return text
 
 

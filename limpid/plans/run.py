@@ -7,11 +7,11 @@ import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.functions import lines, text
-from limpid.operators import validate
+from limpid.functions import lines, text, urls
+from limpid.operators import dedup, validate
 from limpid.sources import files
 from limpid.sources.config import Config
 from limpid.session import prepare
@@ -19,15 +19,53 @@ from limpid.session import prepare
 log = logging.getLogger("limpid")
 
 
-def plan(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(clean lines, quarantine) of (path, line_no, line); redaction comes before either."""
+def judged_lines(raw: DataFrame, config: Config) -> DataFrame:
+    """raw with the normalised line (clean_line), its first URL (found) and the first reason to reject it.
+
+    A line without a URL is text, no URL reason applies to it. URLs are judged as they stand, before they are cleaned.
+    """
     line = lines.trim(F.col("line"))
     if config.lines.unquote:
         line = lines.unquote(line)
     if config.lines.unicode_normalize:
         line = text.nfc(line)
-    judged = raw.withColumn("reject_reason", lines.reject_reason(lines.trim(F.col("line")), config.lines.max_line_bytes, config.lines.skip_prefixes))
-    clean = judged.where("reject_reason is null").select("path", "line_no", text.redact(line).alias("line"))
+    u = config.urls
+    schemes = None if u.reject_unknown_schemes else text.FIND_SCHEMES
+    pattern = text.url_pattern(schemes, u.url_pattern, None)
+    out = raw.withColumn("clean_line", lines.drop_controls(line)).withColumn("found", text.first_url(F.col("clean_line"), pattern))
+    refused = F.when(F.col("found").isNotNull(), F.concat(F.lit("url_"), validate.url_reason(F.col("found"), u.max_bytes, u.reject_unknown_schemes)))
+    return out.withColumn("reject_reason", F.coalesce(lines.reject_reason(lines.trim(F.col("line")), config.lines.max_line_bytes, config.lines.skip_prefixes), refused))
+
+
+def clean_url(url: Column, config: Config) -> Column:
+    """The printable characters of a URL (L9), with scheme (U1), port (U5), path (U6) and host (U7) as configured."""
+    u, url = config.urls, lines.printable(url)
+    if u.clean and u.strip_default_ports:
+        url = urls.clean(url)
+    else:
+        if u.clean:
+            url = urls.lower_scheme(url)
+        if u.strip_default_ports:
+            url = urls.strip_default_port(url)
+        url = urls.lower_host(url)
+    return urls.strip_path(url) if u.strip_paths else url
+
+
+def plan(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(clean lines, quarantine) of (path, line_no, line); redaction comes before either.
+
+    Clean lines hold their first URL cleaned; of lines that are then equal the first by path and number is kept.
+    """
+    judged = judged_lines(raw, config)
+    kept = judged.where("reject_reason is null").withColumn("url", clean_url(F.col("found"), config))
+    at = F.instr("clean_line", F.col("found"))
+    after = F.substring("clean_line", at + F.length("found"), F.length("clean_line"))
+    whole = F.when(F.col("found").isNull(), F.col("clean_line")).otherwise(F.concat(F.substring("clean_line", F.lit(1), at - 1), F.col("url"), after))
+    email = text.email_pattern(config.urls.email_pattern)
+    email = None if email == text.EMAIL else email
+    # the key is of the line before redaction, which makes different lines equal
+    rows = kept.withColumn("whole", whole).select("path", "line_no", text.redact(F.col("whole"), email).alias("line"), text.redact(F.col("url"), email).alias("url"), F.sha2("whole", 256).alias("key"))
+    clean = dedup.keep_first(rows, F.col("key"), ["path", "line_no"]).drop("key")
     bad = judged.where("reject_reason is not null and reject_reason <> 'empty'")
     return clean, validate.quarantine(bad, "line", ["path", "line_no"], config.output.quarantine_key)
 
@@ -42,8 +80,9 @@ def run(spark: SparkSession, source: str, target: str, config: Config | None = N
         clean, bad = plan(raw, config)
         clean.write.mode("overwrite").parquet(f"{target}/clean")
         bad.write.mode("overwrite").parquet(f"{target}/quarantine")
-        judged = raw.withColumn("reject_reason", lines.reject_reason(lines.trim(F.col("line")), config.lines.max_line_bytes, config.lines.skip_prefixes))
-        stats = validate.run_statistics(judged, "line")
+        n = spark.read.parquet(f"{target}/clean").count()
+        stats = validate.run_statistics(judged_lines(raw, config), "line")
+        stats = stats.withColumns({"n_kept": F.lit(n).cast("bigint"), "n_duplicates": F.col("n_kept") - n})
         if config.output.export_stats:
             files.write_statistics(stats, f"{target}/stats")
         found = stats.first().asDict()

@@ -100,3 +100,28 @@ def test_figures(spark):
     assert [run.duration(s) for s in (5, 65, 3661)] == ["0:05", "1:05", "1:01:01"]
     assert run.rate(5, 0) == 0 and run.remaining(0, 5, 1) is None and run.remaining(2, 6, 1) == 2
     assert run.workers() >= 1 and run.cancel(spark, "nothing") == [] and run.progress(spark, print) == []
+
+
+def test_run_takes_urls_through_all_stages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(
+        "go HTTP://Ex.COM:80/Aé now\ngo http://ex.com/A now\nhttps://b_d/x\nhttps://b.de/" + "x" * 2100 + "\n"
+        "tab\tstays\x01\ntab\tstays\ngopher://old.org/x\nmail a@b.de\nmail c@b.de\nhttps://C.de:443/P/q"
+    )
+
+    def result(name, toml=""):
+        (tmp_path / f"{name}.toml").write_text(toml)
+        stats = run.run(spark, f"{tmp_path}/in", f"{tmp_path}/{name}", config.load(tmp_path / f"{name}.toml"))
+        clean = sorted((r.line_no, r.line, r.url) for r in spark.read.parquet(f"{tmp_path}/{name}/clean").collect())
+        bad = sorted((r.line_no, r.reject_reason) for r in spark.read.parquet(f"{tmp_path}/{name}/quarantine").collect())
+        assert stats["n_kept"] == len(clean) and stats["n_rejected"] == len(bad) and stats["n_lines"] == 10 == len(clean) + len(bad) + stats["n_empty"] + stats["n_duplicates"]
+        return clean, bad
+
+    clean, bad = result("plain")
+    text_ = [(5, "tab\tstays", None), (7, "gopher://old.org/x", None), (8, "mail [EMAIL]", None), (9, "mail [EMAIL]", None)]
+    assert clean == [(1, "go http://ex.com/A now", "http://ex.com/A"), *text_, (10, "https://c.de/P/q", "https://c.de/P/q")]
+    assert bad == [(3, "url_pattern"), (4, "url_too_long")]
+    clean, bad = result("set", '[urls]\nmax_bytes = 3000\nclean = false\nstrip_default_ports = false\nstrip_paths = true\nreject_unknown_schemes = true\nemail_pattern = "a@b"\n')
+    assert [c[2] for c in clean] == ["HTTP://ex.com:80", "http://ex.com", "https://b.de", None, None, None, "https://c.de:443"]
+    assert [c[1] for c in clean if c[1].startswith("mail")] == ["mail [EMAIL].de", "mail c@b.de"] and bad == [(3, "url_pattern"), (7, "url_scheme")]
+    assert [c[2] for c in result("pattern", '[urls]\nurl_pattern = "gopher://\\\\S+"\n')[0] if c[2]] == ["gopher://old.org/x"]
