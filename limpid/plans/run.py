@@ -76,16 +76,17 @@ def run(spark: SparkSession, source: str, target: str, config: Config | None = N
     prepare(spark).addTag(tag)
     began = time.time()
     try:
-        raw = files.read_decoded(spark, source, config.encoding.mode, config.encoding.sample_bytes, config.encoding.fallback_encoding)
-        clean, bad = plan(raw, config)
-        clean.write.mode("overwrite").parquet(f"{target}/clean")
-        bad.write.mode("overwrite").parquet(f"{target}/quarantine")
-        n = spark.read.parquet(f"{target}/clean").count()
-        stats = validate.run_statistics(judged_lines(raw, config), "line")
-        stats = stats.withColumns({"n_kept": F.lit(n).cast("bigint"), "n_duplicates": F.col("n_kept") - n})
-        if config.output.export_stats:
-            files.write_statistics(stats, f"{target}/stats")
-        found = stats.first().asDict()
+        with files.splitting(spark, source):
+            raw = files.read(spark, source, config.encoding.mode, config.encoding.sample_bytes, config.encoding.fallback_encoding)
+            clean, bad = plan(raw, config)
+            clean.write.mode("overwrite").parquet(f"{target}/clean")
+            bad.write.mode("overwrite").parquet(f"{target}/quarantine")
+            n = spark.read.parquet(f"{target}/clean").count()
+            stats = validate.run_statistics(judged_lines(raw, config), "line")
+            stats = stats.withColumns({"n_kept": F.lit(n).cast("bigint"), "n_duplicates": F.col("n_kept") - n})
+            if config.output.export_stats:
+                files.write_statistics(stats, f"{target}/stats")
+            found = stats.first().asDict()
     finally:
         spark.removeTag(tag)
     seconds = time.time() - began

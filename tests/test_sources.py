@@ -125,3 +125,21 @@ def test_run_takes_urls_through_all_stages(spark, tmp_path):
     assert [c[2] for c in clean] == ["HTTP://ex.com:80", "http://ex.com", "https://b.de", None, None, None, "https://c.de:443"]
     assert [c[1] for c in clean if c[1].startswith("mail")] == ["mail [EMAIL].de", "mail c@b.de"] and bad == [(3, "url_pattern"), (7, "url_scheme")]
     assert [c[2] for c in result("pattern", '[urls]\nurl_pattern = "gopher://\\\\S+"\n')[0] if c[2]] == ["gopher://old.org/x"]
+
+
+def test_large_files_are_split(spark, tmp_path):
+    body = "".join(f"{i} line {'x' * (i * 7919 % 1000)}" + ("\r\n", "\n", "\r")[i % 3] for i in range(1500)) + "last"
+    (tmp_path / "a b.txt").write_bytes(body.encode() * 12 + "é".encode())
+    (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbf" + body.encode() * 7 + b"\xff")
+    (tmp_path / "c.log").write_bytes(body.encode() * 12 + "é€".encode("cp1252"))
+    (tmp_path / "d.dat").write_bytes(b"\xff\xfe" + (body * 4).encode("utf-16le"))
+    (tmp_path / "e.txt").write_bytes(b"few\nlines")
+    want = {tuple(r) for r in files.read_decoded(spark, str(tmp_path)).collect()}
+    with files.splitting(spark, str(tmp_path)):
+        got = files.read(spark, str(tmp_path))
+        rows = {tuple(r) for r in got.collect()}
+        tasks = got.where(F.col("path").endswith("c.log")).select(F.spark_partition_id()).distinct().count()
+    assert rows == want and tasks > 1
+    assert [files._by_lines(x) for x in ("utf8", "cp1252", "koi8-r", "utf-16le", "gbk", "cp037")] == [True, True, True, False, False, False]
+    run.run(spark, str(tmp_path), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/clean").where("line = 'lasté€'").count() == 1
