@@ -305,28 +305,30 @@ def _addresses(text: str, line_of) -> Iterator[tuple]:
     for line in lines.values():
         if not _HAS_NUMBER.search(text, line.begin, line.end) or line.encoded:
             continue
-        done = line.begin
+        held: list[tuple[int, int]] = []
         for pattern in _ADDRESS:
-            for m in pattern.finditer(text, done, line.end):
-                begin, end = m.start(), m.end()
-                unit = _ADDRESS_START.search(text, max(line.begin, begin - 14), begin)
-                if unit and unit.end() == begin:
-                    begin = unit.start()
-                before = line.before(begin)
-                left = text[begin - 1 : begin]
-                town = m["town"].split(" ")[0].lower()
-                votes = (
-                    1 if m["num"] and m["street"] and town else -1,
-                    1 if _CUE["address"].search(before) or left in ("'", '"', "=", ":") else 0,
-                    1 if m["zip"] else 0,
-                    1 if m["unit"] or text[begin].isalpha() else 0,
-                    -1 if left.isalnum() or left in ("_", "/", "-") and begin > line.begin + 1 else 0,
-                    -1 if town in _NOT_NAME and town not in _TOWN_OPENS else 1,
-                )
-                yield begin, end, "address", votes
-                done = end
-            if done > line.begin:
-                break
+            # what lies between the matches of the patterns before
+            gaps = [*zip([line.begin, *(e for _, e in held)], [*(b for b, _ in held), line.end], strict=True)]
+            for low, high in gaps:
+                for m in pattern.finditer(text, low, high):
+                    begin, end = m.start(), m.end()
+                    unit = _ADDRESS_START.search(text, max(low, begin - 14), begin)
+                    if unit and unit.end() == begin:
+                        begin = unit.start()
+                    before = line.before(begin)
+                    left = text[begin - 1 : begin]
+                    town = m["town"].split(" ")[0].lower()
+                    votes = (
+                        1 if m["num"] and m["street"] and town else -1,
+                        1 if _CUE["address"].search(before) or left in ("'", '"', "=", ":") else 0,
+                        1 if m["zip"] else 0,
+                        1 if m["unit"] or text[begin].isalpha() else 0,
+                        -1 if left.isalnum() or left in ("_", "/", "-") and begin > line.begin + 1 else 0,
+                        -1 if town in _NOT_NAME and town not in _TOWN_OPENS else 1,
+                    )
+                    yield begin, end, "address", votes
+                    held.append((begin, end))
+            held.sort()
 
 
 def _names(text: str, line_of, taken: list[tuple[int, int]]) -> Iterator[tuple]:

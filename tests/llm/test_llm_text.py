@@ -193,3 +193,11 @@ def test_equal_spans_once_and_long_text(spark):
     text = ("padding line\n" * 20_000) + "Mail a.b@c.example\nMail a.b@c.example\n"
     df = spark.createDataFrame([(1, text), (2, "Mail a.b@c.example")], "doc_id bigint, text string")
     assert sorted(tuple(r) for r in pii.find_personal(df).collect()) == [(1, "email", "a.b@c.example"), (2, "email", "a.b@c.example")]
+
+
+def test_addresses_of_several_formats_in_a_line():
+    ways = ["12 Oak Street, Pelham", "Lindenstrasse 4, 10115 Berlin", "8 rue de la Paix, 75002 Paris", "Calle Mayor 3, 28013 Madrid"]
+    for line in (" | ".join(ways), "; ".join(reversed(ways)), "x\n" + " / ".join(ways[1:]) + "\ny"):
+        spans = sorted((b, e) for b, e, kind, _ in pii.candidates(line) if kind == "address")
+        assert {line[b:e] for b, e in spans} == {w for w in ways if w in line}
+        assert all(e <= b for (_, e), (b, _) in zip(spans, spans[1:]))
