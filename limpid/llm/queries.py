@@ -71,8 +71,7 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "n_tokens")
-    return packing.usage(packing.pack(docs, size=F.col("n_tokens")))
+    return packing.usage(p8_pack(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

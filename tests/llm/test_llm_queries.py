@@ -2,6 +2,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from limpid.llm import queries
 
@@ -31,3 +32,14 @@ def test_query(spark, name):
     want = con.execute(queries.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
+
+
+def test_usage_is_that_of_the_packing(spark, tmp_path):
+    from limpid.llm import packing
+
+    rows = [(i, "some words and numbers 12345 " * (i % 90), 1) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    used = queries.QUERIES["p8_usage"](spark, str(tmp_path)).first()
+    packed = queries.QUERIES["p8_pack"](spark, str(tmp_path))
+    assert used == packing.usage(packed).first()
+    assert used.n_tokens == packed.agg(F.sum("size")).first()[0] > 400
