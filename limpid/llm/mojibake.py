@@ -1,18 +1,28 @@
 """Problem 1: text that was decoded with a wrong character encoding.
 
-Round-trip repair. A value is re-encoded under a candidate legacy encoding and
-strictly decoded as the encoding it was probably written in; the step repeats
-for nested layers, and a step is kept only if a garbling cost drops by a margin.
-Everything here is a pure function of one value, so the operator is a map: no
-shuffle, and values that are pure ASCII never leave the JVM.
-
-Defined results: null and empty values are clean (``None`` / unchanged); a value
-with U+FFFD, C1 controls or private-use characters is garbled even when it cannot
-be restored (``restored`` then holds the best partial repair).
+Round-trip repair. A value is re-encoded under every candidate legacy encoding and strictly decoded as the
+encoding it was probably written in; what decodes is taken as a candidate and treated the same way again, so
+that nested layers come off one by one, however many there are: a layer makes the text shorter, which ends the
+search by itself. Of all candidates the one of least garbling cost is the restored text; the value counts as
+garbled if that cost lies below its own by a margin.
+
+The unit of strict decoding is the run of characters outside ASCII, since a multi-byte sequence never reaches
+into ASCII: a run decodes as a whole or not at all, and runs that do not (a quotation mark beside a garbled
+word) stay. Only values for which that finds nothing go through a second, looser pass, for values that were
+changed *after* they were garbled: letter case folded throughout, a no-break space made a plain one, bytes
+lost. It decodes sequence by sequence; its result can differ from the original in a character.
+
+Everything here is a pure function of one value, so the operator is a map: no shuffle, and values that are pure
+ASCII never leave the JVM.
+
+Defined results: null and empty values are clean (``None`` / unchanged); a value with U+FFFD, C1 controls or
+private-use characters is garbled even when it cannot be restored (``restored`` then holds the best partial
+repair); rows without an id are left out; repeated rows are each reported.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
 import itertools
 import math
@@ -24,20 +34,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Single-byte encodings that text is wrongly read as, when it was UTF-8.
+#: Encodings of one byte a character that UTF-8 is wrongly read as.
 READ_AS = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp1250", "cp1253")
-#: (read as, written as): both single-byte or legacy multi-byte.
+#: (read as, written as), both of one byte a character.
 LEGACY_PAIRS = (
     ("cp1252", "cp1251"), ("cp1252", "cp1253"), ("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"),
-    ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp866", "cp1251"), ("cp1252", "gbk"),
-    ("cp1252", "shift_jis"), ("cp1252", "euc_jp"), ("cp1252", "euc_kr"),
+    ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp866", "cp1251"),
 )
-UTF8_MARGIN, PAIR_MARGIN, MAX_LAYERS = 0.9, 1.4, 4
+#: Encodings of several bytes a character that are wrongly read as cp1252.
+MULTI_BYTE = ("gbk", "shift_jis", "euc_jp", "euc_kr")
+#: By how much the cost must drop: for UTF-8 read as one byte a character, for pairs of encodings, for UTF-8 read as GBK.
+#: The last two are strict, since legitimate text converts by chance now and then.
+UTF8_MARGIN, PAIR_MARGIN, GBK_MARGIN = 0.9, 1.4, 2.4
+#: Candidates that are carried on from one layer to the next, the cheapest.
+BEAM = 64
 
 #: Relative frequency of Russian letters in per mille (public corpus statistics).
 _RUSSIAN = {
     "о": 110, "е": 85, "а": 80, "и": 74, "н": 67, "т": 63, "с": 55, "р": 47, "в": 45, "л": 43, "к": 35, "м": 32, "д": 30, "п": 28, "у": 26, "я": 20,
-    "ы": 19, "ь": 17, "г": 17, "з": 16, "б": 16, "ч": 14, "й": 12, "х": 10, "ж": 9, "ш": 7, "ю": 6, "ц": 5, "щ": 4, "э": 3, "ф": 3, "ъ": 0.4, "ё": 0.4,
+    "ы": 19, "ь": 17, "г": 17, "з": 16, "б": 16, "ч": 14, "й": 12, "х": 10, "ж": 9, "ш": 7, "ю": 6, "ц": 5, "щ": 4, "э": 3, "ф": 3, "ъ": 0.4, "ё": 4,
 }
 #: The same for Greek.
 _GREEK = {
@@ -72,14 +87,18 @@ def _alternatives(encoding: str) -> dict[str, tuple[int, ...]]:
     return table
 
 
-def _common_han(c: str) -> bool:
-    for encoding in ("gb2312", "shift_jis", "big5"):
+def _han_cost(c: str) -> float:
+    """By how common a Chinese character is: of the first level of a national character set, of another level, of none."""
+    cost = 2.9
+    for encoding, low, high in (("gb2312", 0xB0, 0xD7), ("shift_jis", 0x88, 0x97), ("big5", 0xA4, 0xC6)):
         try:
-            c.encode(encoding)
-            return True
+            lead = c.encode(encoding)[0]
         except UnicodeEncodeError:
-            pass
-    return False
+            continue
+        if low <= lead <= high:
+            return 2.2
+        cost = 2.6
+    return cost
 
 
 @functools.lru_cache(1 << 16)
@@ -101,6 +120,8 @@ def _kind(c: str) -> tuple[str, float, str]:
             return "S", 0.0, ""
         if 0xC0 <= o <= 0x17F:
             return "A", 1.0 if o not in (0xD0, 0xDD, 0xDE, 0xF0, 0xFD, 0xFE, 0xFF, 0x178, 0x192) else 1.6, case
+        if o in (0x1A0, 0x1A1, 0x1AF, 0x1B0, 0x218, 0x219, 0x21A, 0x21B) or 0x1E00 <= o < 0x1F00:
+            return "A", 1.4, case
         if o < 0x370:
             return "A", 4.0, case
         if o < 0x400:
@@ -112,16 +133,21 @@ def _kind(c: str) -> tuple[str, float, str]:
         if 0x3040 <= o < 0x3100:
             return "K", 1.2, ""
         if 0x4E00 <= o < 0xA000:
-            return "H", 2.2 if _common_han(c) else 2.9, ""
+            return "H", _han_cost(c), ""
         if 0xAC00 <= o < 0xD7B0:
             return "O", 1.5, ""
         if 0xFB00 <= o <= 0xFB06 or 0xFF61 <= o < 0xFFA0 or 0x3400 <= o < 0x4E00:
             return "A" if o > 0xF000 else "H", 3.2, ""
-        return "Z", 1.3, case
+        if 0x1F00 <= o < 0x2000:
+            return "G", 2.0, case
+        # scripts of today's names before those that hardly occur
+        return "Z", 1.3 if o < 0x700 or 0x900 <= o < 0x1200 else 2.0 if o < 0x3000 else 3.0, case
     if cat[0] == "M":
         return "M", 3.4, ""
     if cat == "Cf":
         return "S", 2.0, ""
+    if 0x2B0 <= o < 0x300 and not 0x2D8 <= o < 0x2DE:
+        return "S", 3.0, ""
     if 0x2500 <= o < 0x25A0:
         return "S", 1.6, ""
     if o >= 0x1F000 or 0x2600 <= o < 0x27C0:
@@ -181,6 +207,129 @@ def garbling_cost(text: str) -> float:
     return cost
 
 
+@functools.cache
+def _pair_table(read_as: str, written_as: str) -> dict[int, str]:
+    """For str.translate: what each character becomes; NUL where it may not be part of such text."""
+    table = {}
+    for c, b in _byte_of(read_as).items():
+        script = _kind(c)[0]
+        if script in "FE":
+            continue
+        try:
+            new = bytes([b]).decode(written_as)
+        except UnicodeDecodeError:
+            new = "\0"
+        # strict: what was a letter when written must come out as one
+        table[ord(c)] = new if _kind(new)[0] in "ACGKHO" else "\0"
+    return table
+
+
+def _c1(error: UnicodeError) -> tuple[bytes, int]:
+    """Encodes C1 controls, by which readers show bytes that their encoding leaves undefined, as those bytes."""
+    bad = error.object[error.start : error.end] if isinstance(error, UnicodeEncodeError) else ""
+    if not bad or any(not "\x80" <= c < "\xa0" for c in bad):
+        raise error
+    return bytes(map(ord, bad)), error.end
+
+
+codecs.register_error("limpid_c1", _c1)
+_RUN = re.compile(r"[^\x00-\x7f]+")
+
+
+def _strict(text: str, read_as: str) -> str | None:
+    """text with every run outside ASCII that re-encodes and strictly decodes as UTF-8 replaced; None if none does."""
+    hit, errors = False, "limpid_c1" if read_as == "cp1252" else "strict"
+
+    def one(run: re.Match) -> str:
+        nonlocal hit
+        try:
+            fixed = run[0].encode(read_as, errors).decode("utf-8")
+        except UnicodeError:
+            return run[0]
+        hit = hit or fixed != run[0]
+        return fixed
+
+    fixed = _RUN.sub(one, text)
+    return fixed if hit else None
+
+
+def _strict_multi(text: str, written_as: str) -> str | None:
+    """All runs re-encoded as cp1252 and strictly decoded as an encoding of several bytes; two characters of it at least."""
+
+    def one(run: re.Match) -> str:
+        return run[0].encode("cp1252", "limpid_c1").decode(written_as)
+
+    try:
+        fixed = _RUN.sub(one, text)
+    except UnicodeError:
+        return None
+    kinds = [_kind(c)[0] for c in fixed if c > "\x7f"]
+    return fixed if fixed != text and len(kinds) > 1 and set(kinds) <= set("HKO") else None
+
+
+def _as_pair(text: str, read_as: str, written_as: str) -> str | None:
+    """All letters and symbols of text under one pair of encodings; spaces and quotes that do not convert are passed on.
+
+    Latin letters become another alphabet only if there are four or more: three in a row also occur in Latin words.
+    """
+    known = _pair_table(read_as, written_as)
+    if written_as != "cp1252" and read_as == "cp1252" and sum(c > "\x7f" for c in text) < 4:
+        return None
+    fixed = text.translate(known)
+    if fixed == text or "\0" in fixed:
+        return None
+    if any(c > "\x7f" and ord(c) not in known and _kind(c)[0] not in "FE" for c in text):
+        return None
+    return fixed
+
+
+def _layer(text: str) -> list[tuple[str, float]]:
+    """What text may have been one layer of UTF-8 before, and the margin that this asks for."""
+    found = {}
+    if any("⺀" <= c < "ﬀ" for c in text):
+        found[_strict(text, "gb18030")] = GBK_MARGIN
+    for encoding in READ_AS:
+        found[_strict(text, encoding)] = UTF8_MARGIN
+    found.pop(None, None)
+    return [*found.items()]
+
+
+def _round_trips(text: str) -> tuple[str, float, bool] | None:
+    """The candidate that lowers the cost most over any number of layers: text, cost, whether it is UTF-8 throughout; None if there is none."""
+    before: float | None = None
+    best, layer, known = (0.0, "", 0.0, True), [(0.0, text, 0.0)], {text}
+
+    def consider(state: str, margin: float, utf8: bool) -> float:
+        nonlocal before, best
+        before = garbling_cost(text) if before is None else before
+        cost = garbling_cost(state)
+        best = max(best, (before - cost - margin + 1e-6, state, cost, utf8), key=lambda b: b[0])
+        return cost
+
+    while layer:
+        further = []
+        for _, state, margin in layer:
+            for fixed, own in _layer(state):
+                if fixed not in known:
+                    known.add(fixed)
+                    own = max(own, margin)
+                    further.append((consider(fixed, own, True), fixed, own))
+            for read_as, written_as in LEGACY_PAIRS:
+                fixed = _as_pair(state, read_as, written_as)
+                if fixed is not None and fixed not in known:
+                    # a Cyrillic word stays one under another Cyrillic encoding, only its letters get rarer
+                    consider(fixed, margin + PAIR_MARGIN + (0.3 if read_as != "cp1252" and written_as in ("cp1251", "koi8_r") else 0.0), False)
+            for written_as in MULTI_BYTE:
+                fixed = _strict_multi(state, written_as)
+                if fixed is not None and fixed not in known:
+                    consider(fixed, margin + PAIR_MARGIN, False)
+        layer = sorted(further)[:BEAM]
+    return (best[1], best[2], best[3]) if best[0] > 0 else None
+
+
+# ---------------------------------------------------------------- values changed after they were garbled
+
+
 def _sequence(options: list[tuple[int, ...]], at: int) -> tuple[str, int, int, float] | None:
     """The most likely strictly valid UTF-8 sequence that begins at options[at]: character, length, bytes of changed case, score."""
     best = None
@@ -204,156 +353,66 @@ def _sequence(options: list[tuple[int, ...]], at: int) -> tuple[str, int, int, f
     return best
 
 
-@functools.cache
-def _may_be_utf8(encoding: str) -> re.Pattern:
-    """Cheap test: a character that can be a lead byte and one that can be a continuation byte."""
-    lead = "".join(re.escape(c) for c, o in _alternatives(encoding).items() if any(0xC2 <= b < 0xF5 for b in o))
-    tail = "".join(re.escape(c) for c, o in _alternatives(encoding).items() if any(0x80 <= b < 0xC0 for b in o))
-    return re.compile(f"[{lead}][{tail}]" + ("|[Ãã] [a-z]" if encoding == "cp1252" else ""))
-
-
-@functools.cache
-def _pair_table(read_as: str, written_as: str) -> dict[int, str]:
-    """For str.translate: what each character becomes; NUL where it may not be part of such text."""
-    table = {}
-    for c, b in _byte_of(read_as).items():
-        script = _kind(c)[0]
-        if script in "FE" and not (read_as == "mac_roman" and c in "‡„“”…"):
-            continue
-        try:
-            new = bytes([b]).decode(written_as)
-        except UnicodeDecodeError:
-            new = "\0"
-        # strict: what was a letter when written must come out as one
-        table[ord(c)] = new if _kind(new)[0] in "ACGKHO" else "\0"
-    return table
-
+def _loose(text: str, read_as: str, folded: bool, lost: bool) -> tuple[str, int] | None:
+    """text with its decodable sequences replaced, and how many bytes were changed for that; None without any.
 
-def _as_utf8(text: str, read_as: str) -> tuple[str, int] | None:
-    """text with every strictly decodable sequence replaced, and how many bytes took the other letter case; None if there is none."""
-    if not _may_be_utf8(read_as).search(text):
-        return None
-    alternatives = _alternatives(read_as)
+    folded: a letter may stand for the byte of the other letter case; a plain space for a no-break one in any
+    case. Unless bytes were lost, every character of a run must belong to a sequence.
+    """
+    table = _alternatives(read_as) if folded else {c: (b,) for c, b in _byte_of(read_as).items()}
     none = ()
-    options = [alternatives.get(c, none) if c > "\x7f" else none for c in text]
+    options = [table.get(c, none) if c > "\x7f" else (0xA0,) if c == " " else none for c in text]
     out, i, n, hit, changed = [], 0, len(text), False, 0
     while i < n:
-        if options[i] and i + 1 < n and (options[i + 1]):
+        if text[i] > "\x7f" and options[i] and i + 1 < n and options[i + 1]:
             found = _sequence(options, i)
             if found:
                 out.append(found[0])
+                changed += found[2] + text[i : i + found[1]].count(" ")
                 i += found[1]
-                hit, changed = True, changed + found[2]
+                hit = True
                 continue
-        if options[i] and i + 1 < n and text[i] in "Ãã" and text[i + 1] == " " and read_as == "cp1252" and (i == 0 or not text[i - 1].isupper()) and i + 2 < n and text[i + 2].islower():
-            out.append("à")  # its second byte was a no-break space, since changed to a plain one
-            i += 2
-            hit = True
-            continue
+        if text[i] > "\x7f" and options[i] and not lost and _kind(text[i])[0] not in "FE":
+            return None
         out.append(text[i])
         i += 1
     return ("".join(out), changed) if hit else None
 
 
-def _as_utf8_from_gbk(text: str) -> str | None:
-    """UTF-8 read as GBK: runs of Han and kindred characters, one following ASCII byte may have been swallowed."""
-    out, i, hit = [], 0, False
-    while i < len(text):
-        if text[i] <= "\x7f":
-            out.append(text[i])
-            i += 1
-            continue
-        j = i
-        while j < len(text) and text[j] > "\x7f":
-            j += 1
-        done = None
-        for end in range(j, i, -1):
-            try:
-                done = text[i:end].encode("gb18030").decode("utf-8"), end
-                break
-            except UnicodeError:
-                continue
-        if done:
-            out.append(done[0])
-            hit = hit or done[0] != text[i : done[1]]
-            i = done[1]
-        else:
-            out.append(text[i])
-            i += 1
-    return "".join(out) if hit else None
-
-
-def _as_pair(text: str, read_as: str, written_as: str) -> str | None:
-    """All letters and symbols of text under one pair of legacy encodings; spaces and quotes that do not convert are passed on."""
-    table = _byte_of(read_as)
-    if written_as in ("gbk", "shift_jis", "euc_jp", "euc_kr"):
-        out, i = [], 0
-        while i < len(text):
-            j = i
-            while j < len(text) and text[j] > "\x7f":
-                j += 1
-            if j > i:
-                run = [table.get(c) for c in text[i:j]]
-                if None in run or len(run) % 2:
-                    return None
-                try:
-                    out.append(bytes(run).decode(written_as))
-                except UnicodeDecodeError:
-                    return None
-                i = j
-            else:
-                out.append(text[i])
-                i += 1
-        return "".join(out)
-    known = _pair_table(read_as, written_as)
-    fixed = text.translate(known)
-    if fixed == text or "\0" in fixed:
-        return None
-    if any(c > "\x7f" and ord(c) not in known and _kind(c)[0] not in "FE" for c in text):
-        return None
-    return fixed
-
-
-def _one_layer(text: str) -> tuple[str, float] | None:
-    before = garbling_cost(text)
-    if before < 2 * UTF8_MARGIN:
+def _changed_later(text: str) -> tuple[str, float] | None:
+    """The second pass: what a value may have been that was changed after it was garbled, and its cost."""
+    cased = [c for c in text if c.lower() != c.upper()]
+    folded = len(cased) > 1 and (all(c.islower() for c in cased) or all(c.isupper() for c in cased))
+    lost = _LOST.search(text) is not None
+    if not (folded or lost or " " in text):
         return None
-    best = None
+    best, before = None, garbling_cost(text)
     for encoding in READ_AS:
-        found = _as_utf8(text, encoding)
-        if found is not None:
-            fixed, after = found[0], garbling_cost(found[0]) + 0.2 * found[1]
-            if before - after >= UTF8_MARGIN and (best is None or after < best[1]):
-                best = fixed, after
-    if any("⺀" <= c < "ﬀ" for c in text):
-        fixed = _as_utf8_from_gbk(text)
-        if fixed is not None:
-            after = garbling_cost(fixed)
-            if before - after >= UTF8_MARGIN and (best is None or after < best[1]):
-                best = fixed, after
-    if best is None or best[1] > 3:  # a pair of legacy encodings may explain it better
-        for read_as, written_as in LEGACY_PAIRS:
-            fixed = _as_pair(text, read_as, written_as)
-            if fixed is not None:
-                after = garbling_cost(fixed)
-                if before - after >= PAIR_MARGIN and (best is None or after < best[1]):
-                    best = fixed, after
+        found = _loose(text, encoding, folded, lost)
+        if found is not None and found[0] != text:
+            cost = garbling_cost(found[0]) + 0.2 * found[1]
+            if before - cost >= UTF8_MARGIN and (best is None or cost < best[1]):
+                best = found[0], cost
     return best
 
 
+#: What no text holds that was decoded rightly: replacement characters, C1 controls, private use.
+_LOST = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
+
+
 @functools.lru_cache(1 << 15)
 def repair(text: str | None) -> tuple[bool, str | None]:
     """(is it garbled, the restored text as far as possible)."""
     if not text or text.isascii():
         return False, text
-    now, garbled = text, False
-    for _ in range(MAX_LAYERS):
-        step = _one_layer(now)
-        if step is None or step[0] == now:
-            break
-        now, garbled = step[0], True
-    lost = any(c == "�" or "\x80" <= c < "\xa0" or "" <= c < "豈" for c in text)
-    return garbled or lost, now
+    now, garbled = text, _LOST.search(text) is not None
+    found = _round_trips(text)
+    if found is not None:
+        later = None if found[2] else _changed_later(text)
+        now, garbled = later[0] if later is not None and later[1] < found[1] else found[0], True
+    while (later := _changed_later(now)) is not None:  # each step lowers the cost
+        now, garbled = later[0], True
+    return garbled, now
 
 
 def _repair_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -374,5 +433,5 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, field_name: str) ->
     A map over the column: the filter on characters outside ASCII runs in the scan's stage, so that Python sees
     only the rows that can be garbled at all.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("original")).where(F.col("original").rlike(r"[^\x00-\x7F]"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("original")).where(F.col("row_id").isNotNull() & F.col("original").rlike(r"[^\x00-\x7F]"))
     return rows.withColumn("r", repaired(F.col("original"))).where(F.col("r.garbled")).select(F.lit(field_name).alias("field_name"), "row_id", "original", F.col("r.restored").alias("restored"))
