@@ -1,24 +1,25 @@
 """Problem 4: has this key been seen before?
 
-A streaming query keeps, per key, the id of its first row in a disk-backed state store (RocksDB) with
-checkpoints; no watermark, so no key ever expires. Keys are stored whole and compared exactly, so the
-rate of wrong answers is 0; ``wrong_rate`` measures it. The stream aggregates with a map-side combine
-before its shuffle, so that a key that holds a third of all rows reaches the store as one row per task.
-
-What comes out of each micro-batch are the ids of first rows of the keys that are new in it; every other row
-is a repeat, found by an anti-join on the unique id, which no key can skew. A key is new if all its rows bear
-the time of one micro-batch, so that a smaller id that arrives later changes nothing. Memory does not grow with the keys: they lie in the
-store's files, and a restart from the checkpoint goes on where the last batch was committed.
-
-Defined results: rows in which the id or a field is null, or a field empty or blank, take no part; within a micro-batch the
-row with the smaller id came earlier, across batches the row of the earlier batch; repeated ids are
-one row.
+A streaming query keeps, per key, the id of its first row and the micro-batch in which it came in a disk-backed state
+store (RocksDB) with checkpoints; no watermark, so no key ever expires. Keys are stored whole and compared exactly, so
+the rate of wrong answers is 0; ``rehearse`` measures it over several batches out of order with a restart between.
+
+The state is an aggregate, combined before its shuffle, so that a key that holds a third of all rows reaches the store
+as one row per task. A key whose rows all bear the time of the present micro-batch is new in it, and the store emits
+its first id; the ids of the batch's own rows run beside it through the same query, and a row that the store does not
+name is a repeat. They meet by id, which no key can skew; only the files of the batch are read, none of an earlier one.
+A restart from the checkpoint goes on where the last batch was committed, and memory does not grow with the keys.
+
+Defined results: rows in which the id or a field is null, or a field empty or blank, take no part; within a micro-batch
+the row with the smaller id came earlier, across batches the row of the earlier batch; an id that occurs twice in a
+batch is one row of it, a repeat if none of its keys is new by it.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,46 +55,48 @@ def _glob(path: str) -> str:
     return path[:-1] + f"[{path[-1]}]"
 
 
-def first_ids(spark: SparkSession, path: str, schema: T.StructType, id_col: str, key_cols: list[str], checkpoint: str | None = None, max_files: int | None = None) -> DataFrame:
-    """(first_id): the id of the first row of every key, by a stream over all files available at path.
-
-    With the same checkpoint a later call reads only new files and remembers all earlier keys.
-    """
-    home = checkpoint or new_folder(spark, "seen")
-    out = f"{home}/first"
+def _stream(spark: SparkSession, path: str, schema: T.StructType, id_col: str, key_cols: list[str], home: str, max_files: int | None) -> None:
+    """Runs over the files at path that the checkpoint in home does not know yet and writes (id, repeat) of every row to home/decided, a folder per micro-batch."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    # within a stream the time is that of the micro-batch, also when a batch is repeated after a failure
-    rows = reader.parquet(_glob(path)).select(F.col(id_col).cast("bigint").alias("id"), *key_cols, F.unix_micros(F.current_timestamp()).alias("batch_time"))
-    for c in key_cols:
+    rows = reader.parquet(_glob(path)).select(F.col(id_col).cast("bigint").alias("id"), *[F.col(c).alias(f"key{i}") for i, c in enumerate(key_cols)])
+    keys = [f"key{i}" for i in range(len(key_cols))]
+    for c in keys:
         rows = rows.where(present(F.col(c)))
     rows = rows.where("id is not null")
-    state = rows.groupBy(*key_cols).agg(F.min("id").alias("first_id"), F.min("batch_time").alias("since"), F.max("batch_time").alias("last"))
+    # within a stream the time is that of the micro-batch, also when a batch is repeated after a failure
+    now = F.unix_micros(F.current_timestamp())
+    state = rows.withColumn("now", now).groupBy(*keys).agg(F.min("id").alias("id"), F.min("now").alias("since"), F.max("now").alias("last"))
+    # a key touched again tells nothing: it was new in an earlier batch
+    first = state.where(F.col("since") == F.col("last")).select("id", F.lit(True).alias("first"))
+    out = rows.select("id", F.lit(False).alias("first")).union(first)
 
     def keep(batch: DataFrame, number: int) -> None:
-        # a key touched again is left out, its first id was written by the batch in which it was new; overwriting makes a repeated batch harmless
-        batch.where(F.col("since") == F.col("last")).select("first_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # overwriting makes a repeated batch harmless
+        decided = batch.groupBy("id").agg((~F.bool_or("first")).alias("repeat"))
+        decided.write.mode("overwrite").parquet(f"{home}/decided/batch={number}")
 
     with _settings(spark, _STORE):
-        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+        query = out.writeStream.outputMode("update").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
+
+
+def decide(spark: SparkSession, path: str, id_col: str = "record_id", key_cols: tuple[str, ...] = ("url", "username"), checkpoint: str | None = None, max_files: int | None = None) -> DataFrame:
+    """(id, repeat): for every row that takes part, whether its key had arrived before.
+
+    With the same checkpoint a later call reads only new files, remembers all earlier keys and returns the answers of
+    all its batches, the earlier ones as they were given.
+    """
+    home = checkpoint or new_folder(spark, "seen")
+    _stream(spark, path, spark.read.parquet(path).schema, id_col, list(key_cols), home, max_files)
     try:
-        return spark.read.schema("first_id bigint, batch int").parquet(out).select("first_id").distinct() if max_files or checkpoint else spark.read.schema("first_id bigint, batch int").parquet(out).select("first_id")
-    except Exception as e:  # no row took part
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], "first_id bigint")
-        raise
-
-
-def decide(spark: SparkSession, path: str, id_col: str = "record_id", key_cols: tuple[str, ...] = ("url", "username"), **options) -> DataFrame:
-    """(id, repeat): for every row that takes part, whether its key had arrived before."""
-    table = spark.read.parquet(path)
-    first = first_ids(spark, path, table.schema, id_col, list(key_cols), **options)
-    rows = table.select(F.col(id_col).cast("bigint").alias(id_col), *key_cols).where(F.col(id_col).isNotNull())
-    for c in key_cols:
-        rows = rows.where(present(F.col(c)))
-    return rows.select(id_col).join(first.withColumn("new", F.lit(True)), F.col(id_col) == F.col("first_id"), "left").select(id_col, F.col("new").isNull().alias("repeat"))
+        decided = spark.read.schema("id bigint, repeat boolean, batch int").parquet(f"{home}/decided")
+    except AnalysisException as e:  # no batch was run
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        decided = spark.createDataFrame([], "id bigint, repeat boolean")
+    return decided.select(F.col("id").alias(id_col), "repeat")
 
 
 def repeats(spark: SparkSession, path: str, id_col: str = "record_id", key_cols: tuple[str, ...] = ("url", "username"), **options) -> DataFrame:
@@ -123,8 +126,25 @@ def wrong_rate(spark: SparkSession, path: str, id_col: str = "record_id", key_co
     rows = spark.read.parquet(path).select(_file(F.col("_metadata.file_path")), F.col(id_col).cast("bigint").alias("id"), *key_cols).where("id is not null")
     for c in key_cols:
         rows = rows.where(present(F.col(c)))
-    arrived = rows.join(F.broadcast(_arrivals(spark, home)), "file")
+    # as many lines as files; adaptive execution broadcasts them if they are few
+    arrived = rows.join(_arrivals(spark, home), "file")
     truth = arrived.groupBy(*key_cols).agg(F.min(F.struct("arrived", "id")).alias("first")).select(F.col("first.id").alias("true_id"))
     both = said.join(truth, F.col(id_col) == F.col("true_id"), "left")
     wrong = F.count_if(F.col("repeat") != F.col("true_id").isNull())
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("repeat").alias("n_repeats"), wrong.alias("n_wrong"), (wrong / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("wrong_rate"))
+
+
+def rehearse(spark: SparkSession, df: DataFrame, id_col: str = "record_id", key_cols: tuple[str, ...] = ("url", "username"), batches: int = 6) -> DataFrame:
+    """wrong_rate() of rows that arrive in several batches, smaller ids often after larger ones, with a restart halfway.
+
+    The rows are dealt to the batches by a hash of their id and written to the shared folder, half of them before the
+    first run of the stream and half before the second, which takes up its checkpoint.
+    """
+    path, home = new_folder(spark, "arrivals"), new_folder(spark, "seen")
+    dealt = df.select(id_col, *key_cols).withColumn("deal", F.pmod(F.xxhash64(id_col), F.lit(batches)))
+    first = max(1, batches // 2)
+    for low, high in ((0, first), (first, batches)):
+        part = dealt.where((F.col("deal") >= low) & (F.col("deal") < high))
+        part.repartition(high - low, "deal").drop("deal").write.mode("append").parquet(path)
+        decide(spark, path, id_col, key_cols, checkpoint=home, max_files=1)
+    return wrong_rate(spark, path, id_col, key_cols, checkpoint=home, max_files=1)

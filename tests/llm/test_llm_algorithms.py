@@ -148,6 +148,26 @@ def test_seen_with_falling_ids_over_batches(spark, tmp_path):
         assert (rate.n_rows, rate.n_repeats, rate.n_wrong) == (9, 5, 0)
 
 
+def test_seen_reads_no_file_twice(spark, tmp_path):
+    home, path = f"file://{tmp_path}/state", f"{tmp_path}/t.parquet"
+    write(spark, [(10, "u", "a"), (12, "u", "b")], path, 1)
+    assert seen.repeats(spark, path, checkpoint=home).count() == 0
+    for f in (tmp_path / "t.parquet").glob("*.parquet"):
+        f.unlink()  # what was read is needed no more
+    write(spark, [(5, "u", "a"), (13, "u", "c")], path, 1)
+    got = {x.record_id: x.repeat for x in seen.decide(spark, path, checkpoint=home).collect()}
+    assert got == {10: False, 12: False, 5: True, 13: False}
+
+
+def test_seen_rehearsal(spark):
+    r = random.Random(9)
+    rows = [(i, f"u{r.randrange(80)}" if r.random() < 0.6 else "hot", r.choice(["p", None, "q"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "record_id bigint, url string, username string")
+    want = [(u, n) for _, u, n in rows if n]
+    rate = seen.rehearse(spark, df, batches=4).first()
+    assert (rate.n_rows, rate.n_repeats, rate.n_wrong) == (len(want), len(want) - len(set(want)), 0)
+
+
 def test_seen_single_file_and_nothing(spark, tmp_path):
     import pandas as pd
 

@@ -72,7 +72,7 @@ def garble(text, read_as):
 @pytest.mark.parametrize("layers", range(1, 7))
 def test_layers_of_any_number(layers):
     done = total = 0
-    for name in LEGITIMATE[::2]:
+    for name in LEGITIMATE[layers::6]:
         for read_as in mojibake.READ_AS:
             wrong = name
             for _ in range(layers):
@@ -80,7 +80,7 @@ def test_layers_of_any_number(layers):
             if wrong:
                 total += 1
                 done += mojibake.repair(wrong) == (True, name)
-    assert total > 1000 and done >= 0.98 * total
+    assert total > 300 and done >= 0.98 * total
 
 
 def test_mixed_layers():
