@@ -2,14 +2,16 @@
 
 The characters of both fields stream through a skip-and-fold table (white space of any kind and
 punctuation of any script are skipped, letter case is folded) into two rolling polynomial hashes per
-field; canonical strings are never built. The hashes of the two fields are put in order, so that
-swapped fields meet. Rows whose hashes collide are verified by comparing them with the group's first
-row with two pointers that skip and fold as they go; should a comparison fail, the odd rows are
-grouped among themselves by their folded text, so that the result is exact.
+field: every character adds its term in place, skipped ones add nothing, and no canonical string is
+built. The hashes of the two fields are put in order, so that swapped fields meet. Rows whose hashes
+collide are verified by comparing them with the group's first row with two pointers that skip and fold
+as they go. Should a comparison fail, which two hashes of 64 bits make all but impossible, those rows
+alone are grouped by their folded text, so that the result is exact.
 
 Spark plan: (hash, record id) is aggregated with a map-side combine to the groups with two rows or
-more; only the rows of those groups meet their texts, in a join that adaptive execution splits where
-a group is hot; nothing is collected per group.
+more, which are written down; the rows then join them, and the members the first rows' texts. Both
+small sides are written before the join, so that adaptive execution can split the partition of a hot
+group. The hash function runs once in each of the two scans; nothing is collected per group.
 
 Defined results: rows in which the id or a field is null, or a field blank once white space is trimmed, take no part;
 a field of punctuation only is an empty text, equal to any other such; repeated ids count as rows of
@@ -18,6 +20,7 @@ their own for the copies and are reported as members by id.
 
 from __future__ import annotations
 
+import array
 import functools
 import sys
 import unicodedata
@@ -70,7 +73,9 @@ def _powers(k: int, n: int) -> np.ndarray:
 
 @functools.cache
 def _small_mix(k: int) -> np.ndarray:
-    return _mix(np.arange(0x3000, dtype=np.uint64), 0x51ED + 0x1234567 * k)
+    table = _mix(np.arange(0x3000, dtype=np.uint64), 0x51ED + 0x1234567 * k)
+    table[0] = 0  # what is skipped adds nothing
+    return table
 
 
 def hashes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,36 +85,43 @@ def hashes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(len(values), np.uint64), np.zeros(len(values), np.uint64)
     codes = fold_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     length = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-    row = np.repeat(np.arange(len(values)), length)
-    kept = codes != 0
-    codes, row = codes[kept], row[kept]
-    n = np.bincount(row, minlength=len(values))
-    start = np.concatenate(([0], np.cumsum(n)[:-1]))
-    place = np.arange(len(codes)) - start[row]
+    counted = np.cumsum(codes != 0)
+    end = np.cumsum(length)
+    upto = np.concatenate(([0], counted))
+    begin, n = upto[end - length], upto[end] - upto[end - length]
+    # how many characters of the text were not skipped before each
+    place = np.maximum(counted - 1 - np.repeat(begin, length), 0)
     longest = 1 << int(n.max(initial=1)).bit_length()
+    some = np.flatnonzero(length)
     out = []
     for k in (0, 1):
         small = _small_mix(k)
-        x = small[codes] if codes.size and codes.max() < len(small) else _mix(codes, 0x51ED + 0x1234567 * k)
+        x = small[codes] if codes.max() < len(small) else np.where(codes == 0, np.uint64(0), _mix(codes, 0x51ED + 0x1234567 * k))
         x = x * _powers(k, max(64, longest))[place]
         total = np.zeros(len(values), np.uint64)
-        some = np.flatnonzero(n)
-        if len(some):
-            total[some] = np.add.reduceat(x, start[some])
+        total[some] = np.add.reduceat(x, (end - length)[some])
         out.append(_mix(total + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D), k))
     return out[0], out[1]
 
 
+@functools.cache
+def _fold_array() -> array.array:
+    return array.array("I", fold_table().tobytes())
+
+
 def same(a: str, b: str) -> bool:
     """Are a and b equal but for what is skipped and folded? Two pointers, no copies."""
-    table = fold_table()
+    if a == b:
+        return True
+    table = _fold_array()
     i = j = 0
+    m, n = len(a), len(b)
     while True:
         x = y = 0
-        while i < len(a) and not x:
+        while i < m and not x:
             x = table[ord(a[i])]
             i += 1
-        while j < len(b) and not y:
+        while j < n and not y:
             y = table[ord(b[j])]
             j += 1
         if x != y:
@@ -138,13 +150,22 @@ def present(c: Column) -> Column:
 def keyed(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     """(record_id, a, b, k1, k2) of the rows that take part."""
     rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("record_id").isNotNull() & present(F.col("a")) & present(F.col("b")))
-    udf = F.pandas_udf(_hash_batches, "k1 bigint, k2 bigint")
+    # called nondeterministic, so that no filter that a join infers is pushed below it and makes it run again
+    udf = F.pandas_udf(_hash_batches, "k1 bigint, k2 bigint").asNondeterministic()
     return rows.withColumn("k", udf("a", "b")).select("record_id", "a", "b", "k.k1", "k.k2")
 
 
 def _same_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for a, b, c, d in batches:
-        yield pd.Series([(same(p, r) and same(q, s)) or (same(p, s) and same(q, r)) for p, q, r, s in zip(a, b, c, d, strict=True)], dtype=bool)
+        known: dict[tuple[str, ...], bool] = {}  # a hot group brings the same spellings again and again
+        out = []
+        for four in zip(a, b, c, d, strict=True):
+            ok = known.get(four)
+            if ok is None:
+                p, q, r, s = four
+                known[four] = ok = (same(p, r) and same(q, s)) or (same(p, s) and same(q, r))
+            out.append(ok)
+        yield pd.Series(out, dtype=bool)
 
 
 def _canonical_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -160,17 +181,16 @@ def _canonical_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
 def members(df: DataFrame, id_col: str = "record_id", a: str = "url", b: str = "username") -> DataFrame:
     """(first_record_id, record_id): every row of a group of equal records other than its first, by smallest id."""
     rows = keyed(df, id_col, a, b)
-    groups = rows.groupBy("k1", "k2").agg(F.min("record_id").alias("first_record_id"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    groups = rows.groupBy("k1", "k2").agg(F.min("record_id").alias("first_record_id"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n").checkpoint()
     # the texts of rows in groups of one are dropped by the join
-    inside = rows.join(groups.drop("n"), ["k1", "k2"]).checkpoint()
-    first = inside.where(F.col("record_id") == F.col("first_record_id")).select("k1", "k2", F.col("a").alias("c"), F.col("b").alias("d")).dropDuplicates(["k1", "k2"])
+    inside = rows.join(groups.hint("merge"), ["k1", "k2"]).checkpoint()
+    first = inside.where(F.col("record_id") == F.col("first_record_id")).select("k1", "k2", F.col("a").alias("c"), F.col("b").alias("d")).dropDuplicates(["k1", "k2"]).checkpoint()
     check = F.pandas_udf(_same_batches, "boolean")
-    tested = inside.where(F.col("record_id") != F.col("first_record_id")).join(first, ["k1", "k2"]).withColumn("ok", check("a", "b", "c", "d"))
-    tested = tested.select("first_record_id", "record_id", "a", "b", "ok").checkpoint()
-    good = tested.where("ok").select("first_record_id", "record_id")
-    odd = tested.where("not ok")  # two different texts of one hash: as good as never, grouped by the texts themselves
+    tested = inside.where(F.col("record_id") != F.col("first_record_id")).join(first.hint("merge"), ["k1", "k2"]).withColumn("ok", check("a", "b", "c", "d"))
+    tested = tested.select("first_record_id", "record_id", F.when(~F.col("ok"), F.struct("a", "b")).alias("odd")).checkpoint()
+    good = tested.where("odd is null").select("first_record_id", "record_id")
     canonical = F.pandas_udf(_canonical_batches, "string")
-    odd = odd.select("record_id", canonical("a", "b").alias("t"))
+    odd = tested.where("odd is not null").select("record_id", canonical("odd.a", "odd.b").alias("t"))
     firsts = odd.groupBy("t").agg(F.min("record_id").alias("first_record_id"))
     return good.unionByName(odd.join(firsts, "t").where(F.col("record_id") != F.col("first_record_id")).select("first_record_id", "record_id"))
 

@@ -90,6 +90,32 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     assert {tuple(x) for x in formatting.members(df).collect()} == {(1, 2), (3, 4)}
 
 
+def test_a_hot_record_is_split(spark):
+    """The join of a key with half of all rows runs as a skew join, in more tasks than one."""
+    hot = spark.range(60_000).select(F.col("id").alias("record_id"), F.concat(F.lit("https://hot.example/"), F.lit("x" * 60)).alias("url"), F.lit("Ann").alias("username"))
+    rest = spark.range(60_000, 120_000).select(F.col("id").alias("record_id"), F.concat(F.lit("https://a.example/"), F.floor(F.col("id") / 2)).alias("url"), F.lit("bob").alias("username"))
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200kb", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100kb",
+        "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = hot.unionByName(rest).repartition(8)
+        rows = formatting.keyed(df, "record_id", "url", "username")
+        groups = rows.groupBy("k1", "k2").agg(F.min("record_id").alias("first_record_id")).checkpoint()
+        joined = rows.join(groups.hint("merge"), ["k1", "k2"])
+        assert len(joined.select("record_id").collect()) == 120_000
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan and plan.partition("Initial Plan")[0].count("ArrowEvalPython") == 1
+        assert formatting.members(df).agg(F.count(F.lit(1)), F.countDistinct("first_record_id")).first() == (59_999 + 30_000, 30_001)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aA .bßé-é", max_size=8), st.text(alphabet="aA .bßé-é", max_size=8))
 def test_hash_and_comparison_agree(a, b):
