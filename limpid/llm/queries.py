@@ -62,6 +62,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("exposure_id_a"), F.col("id_b").alias("exposure_id_b"))
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_reading_classes(table(spark, d, "ulp_exposures"), "exposure_id", "url", "username").withColumnRenamed("id", "exposure_id")
+
+
 def p7_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent(table(spark, d, "ulp_exposures").select("exposure_id", "url", "username"), "url", "username")
 

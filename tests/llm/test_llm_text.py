@@ -125,33 +125,45 @@ def test_find_garbled(spark):
 # ---------------------------------------------------------------- look-alikes
 
 
-def test_canonical_forms():
+@pytest.fixture(scope="module")
+def form(spark):
+    return lookalike.Form(lookalike.lookalikes(spark))
+
+
+def test_canonical_forms(form):
     same = ["https://ex.com/a-b", "ｈｔｔｐｓ：／／ｅｘ．ｃｏｍ／ａ－ｂ", "httрѕ://ех.соm/а-b", "https://ex․com/a‐b", "htt‍ps://ex.c­om/a-b﻿"]
-    assert {lookalike.canonical(t) for t in same} == {same[0]}
-    assert lookalike.canonical("ﬁle") == "file" and lookalike.canonical("é") == "é" and lookalike.canonical("a　b c") == "a b c"
+    assert {form.canonical(t) for t in same} == {same[0]}
+    assert form.canonical("ﬁle") == "file" and form.canonical("é") == "é" and form.canonical("a　b c") == "a b c"
     different = ["file", "File", "fíle", "fi1e", "f-ile", "f_ile", "naif1", "naif¹"]
-    assert len({lookalike.canonical(t) for t in different}) == len(different)
-    assert lookalike.canonical(None) is None and lookalike.canonical("") == ""
-    assert lookalike.canonical("e​́") == "é" and lookalike.canonical("и̮") == "и̮"
+    assert len({form.canonical(t) for t in different}) == len(different)
+    assert form.canonical(None) is None and form.canonical("") == ""
+    assert form.canonical("e​́") == "é" and form.canonical("и̮") == "и̮"
+
+
+def test_look_alikes_of_many_alphabets(form):
+    assert form.canonical("аеорсхуіј") == "aeopcxyij" and form.canonical("АВЕКМНОРСТХІ") == "ABEKMHOPCTXI"
+    assert form.canonical("αιυορν") == "aiuopv" and form.canonical("ꓐꓑ") == "BP" and form.canonical("Ꮃⲟ𐐬") == "Woo"
+    assert form.canonical("ά") == "á" and form.canonical("ı") == "ı" and form.canonical("ø") == "ø" and form.canonical("ł") == "ł"
+    assert len(form.table) > 500 and all(k > "\x7f" and v.isascii() and v.isalpha() for k, v in form.table.items())
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aеéé ̈​ｅﬁ．－ᄀ가ᅡ漢и�힣"), max_size=12))
-def test_canonical_is_idempotent_and_whole(text):
-    once = lookalike.canonical(text)
-    assert lookalike.canonical(once) == once
+@given(st.text(alphabet=st.sampled_from("aеéé ̈​ｅﬁ．－ᄀ가ᅡ漢и�힣ά"), max_size=12))
+def test_canonical_is_idempotent_and_whole(form, text):
+    once = form.canonical(text)
+    assert form.canonical(once) == once
     # splicing gives what folding every character and composing the whole gives
-    whole = unicodedata.normalize("NFC", "".join(lookalike._fold(c) for c in text))
-    assert once == lookalike.canonical(whole)
+    whole = unicodedata.normalize("NFC", "".join(form.fold(c) for c in text))
+    assert once == form.canonical(whole)
 
 
-def test_pairs_against_brute_force(spark):
+def test_pairs_against_brute_force(spark, form):
     r = random.Random(5)
     forms = ["ann", "аnn", "ａnn", "an­n", "Ann", "ánn", "bob", "ｂob", "", None]
     rows = [(i, r.choice(["http://a", "ｈttp://a", "http://b", None]), r.choice(forms)) for i in range(120)]
-    df = spark.createDataFrame(rows, "id int, url string, name string").withColumn("ka", F.lit("clash"))
+    df = spark.createDataFrame([*rows, (None, "http://a", "аnn")], "id int, url string, name string").withColumns({"ka": F.lit("clash"), "h": F.lit("clash")})
     got = {(x.id_a, x.id_b) for x in lookalike.same_reading_pairs(df, "id", "url", "name").collect()}
-    c = lookalike.canonical
+    c = form.canonical
     want = {
         (a, b)
         for a, u, n in rows
@@ -160,6 +172,10 @@ def test_pairs_against_brute_force(spark):
     }
     assert got == want and want
     assert lookalike.same_reading_pairs(df.limit(0), "id", "url", "name").count() == 0
+    links = {i: sum(i in p for p in want) for p in want for i in p}
+    classes = {x.id: (x.class_id, x.n_links) for x in lookalike.same_reading_classes(df, "id", "url", "name").collect()}
+    assert {i: n for i, (_, n) in classes.items()} == links
+    assert all(classes[a][0] == classes[b][0] <= a for a, b in want) and lookalike.same_reading_classes(df.limit(0), "id", "url", "name").count() == 0
 
 
 def test_pairs_of_many_copies(spark):
