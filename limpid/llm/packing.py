@@ -6,32 +6,37 @@ gaps that no item fits. Items above the capacity are cut into full containers an
 other item is split.
 
 Spark plan: sizes are computed where the texts are read, and only (id, size) goes on. Items are spread
-evenly over packers by a hash of their id; each packer streams over its items holding the level array
-and its open containers. What a packer could not fill goes, as one piece per container, into further
-rounds with fewer packers, so that the unused space is that of one packer, not of thousands. The
-number of pieces falls with each round; no packer sees more than ``per_packer`` pieces but the last,
-whose input is bounded by the fill levels of the round before.
+evenly over packers by a hash of their id; each packer streams over at most ``per_packer`` items holding
+the level array and its open containers. Containers left open that some other could still be put into
+go, as one piece each, into a further round of packers of the same bound, and so on, as long as a round
+does away with a quarter of its pieces at least: so nothing but the number of packers grows with the
+data, and a round that no longer helps is the last. Moves of containers are put together before they
+meet the items, in one join.
 
-Sizes are tokens of a public tokenizer (``tokenizer`` is the path of a tiktoken rank file); without one
-the table's own token count, and without that the number of characters / 4.
+Sizes are tokens of a public tokenizer (``tokenizer`` is the path of a tiktoken rank file on the driver,
+which sends it to the workers; a path without a file is an error), or a column of counts where no
+tokenizer is wanted (``tokenizer=None``).
 
 Defined results: null and empty texts have size 0 and take no place: they come out with container
-null; ids that occur twice are two items.
+null; ids that occur twice are two items, and so are null ids; texts of any length are counted whole.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import os
+import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limpid.session import written
+
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of byte-level BPE with 50k entries.
@@ -39,18 +44,27 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 PER_PACKER = 20_000
 
 
-@functools.cache
-def _encoding(path: str):
+#: A rank file is sent to every worker; one of 200,000 tokens has 4 MB.
+MOST_RANK_BYTES = 64 << 20
+
+
+@functools.lru_cache(2)
+def _encoding(ranks: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=known, special_tokens={})
+
 
+def token_counts(spark: SparkSession, path: str):
+    """A function of a text column: its number of tokens, 0 for null."""
+    ranks = Path(path).read_bytes()
+    if len(ranks) > MOST_RANK_BYTES:
+        raise ValueError(f"{path} is no rank file: {len(ranks)} bytes")
+    sent = spark.sparkContext.broadcast(ranks)
 
-def token_counts(path: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(sent.value).encode_ordinary
         for texts in batches:
             yield pd.Series([len(encode(t)) if isinstance(t, str) else 0 for t in texts], dtype="int64")
 
@@ -58,12 +72,10 @@ def token_counts(path: str):
 
 
 def size_column(df: DataFrame, text_col: str = "text", tokenizer: str | None = TOKENIZER, count_col: str = "n_tokens") -> Column:
-    """The size of a text in tokens."""
-    if tokenizer and os.path.exists(tokenizer):
-        return token_counts(tokenizer)(F.col(text_col))
-    if count_col in df.columns:
-        return F.coalesce(F.col(count_col).cast("bigint"), F.lit(0))
-    return F.coalesce(F.ceil(F.length(text_col) / 4), F.lit(0))
+    """The size of a text: its tokens by the tokenizer, or without one what count_col says."""
+    if tokenizer is not None:
+        return token_counts(df.sparkSession, tokenizer)(F.col(text_col))
+    return F.coalesce(F.col(count_col).cast("bigint"), F.lit(0))
 
 
 class Packer:
@@ -102,57 +114,94 @@ class Packer:
         return box, h
 
 
-def _pack_group(capacity: int, round_: int):
+def _pack_group(capacity: int, round_: int, per_packer: int):
     def run(key, pieces):
-        packer = Packer(capacity)
         pieces = pieces.sort_values("piece")
-        got = [packer.place(int(s)) for s in pieces["size"]]
-        return pieces.drop(columns="g").assign(box=[f"{round_}-{key[0]}-{b}" for b, _ in got], at=[p for _, p in got])
+        box, at = [], []
+        for low in range(0, len(pieces), per_packer):  # a group may come out a little above the bound
+            packer = Packer(capacity)
+            for size in pieces["size"].iloc[low : low + per_packer]:
+                b, p = packer.place(int(size))
+                box.append(f"{round_}-{key[0]}-{low // per_packer}-{b}")
+                at.append(p)
+        return pieces.drop(columns="g").assign(box=box, at=at)
 
     return run
 
 
-def _round(pieces: DataFrame, packers: int, capacity: int, round_: int) -> DataFrame:
+def _round(pieces: DataFrame, n: int, per_packer: int, capacity: int, round_: int) -> DataFrame:
     """pieces with the box and the place in it of one round; sorted within a packer, so that the result does not depend on arrival."""
-    keyed = pieces.withColumn("g", F.pmod(F.xxhash64("piece", F.lit(round_)), F.lit(packers)).cast("int"))
-    return keyed.groupBy("g").applyInPandas(_pack_group(capacity, round_), T.StructType([*pieces.schema.fields, T.StructField("box", T.StringType()), T.StructField("at", T.LongType())]))
+    groups = max(1, math.ceil(n / per_packer))
+    keyed = pieces.withColumn("g", F.pmod(F.xxhash64("piece", F.lit(round_)), F.lit(groups)).cast("int"))
+    schema = T.StructType([*pieces.schema.fields, T.StructField("box", T.StringType()), T.StructField("at", T.LongType())])
+    return keyed.groupBy("g").applyInPandas(_pack_group(capacity, round_, per_packer), schema)
+
+
+def _open(boxes: DataFrame, capacity: int, full: float) -> tuple[DataFrame, int]:
+    """(piece, size) of the boxes that are not full and with which the smallest of them still fits, and their number."""
+    left = boxes.where(F.col("size") < full * capacity)
+    least = left.agg(F.min("size")).first()[0]
+    if least is None:
+        return left, 0
+    left = left.where(F.col("size") <= capacity - least).select(F.col("box").alias("piece"), "size")
+    return left, left.count()
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", size: Column | None = None, capacity: int = CAPACITY, per_packer: int = PER_PACKER, full: float = 0.995) -> DataFrame:
     """(id, part, container, position, size): where each item, or each part of one above the capacity, lies.
 
-    part is 0 but for cut items, whose parts 0, 1, ... follow each other through the text.
+    part is 0 but for cut items, whose parts 0, 1, ... follow each other through the text. Boxes filled to the share
+    full of the capacity go into no further round.
     """
     size = size_column(df) if size is None else size
     id_type = df.schema[id_col].dataType
     # as text, since pandas would turn whole numbers beside a null into floats
-    items = df.select(F.col(id_col).cast("string").alias("id"), size.cast("bigint").alias("n")).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    items = written(df.select(F.col(id_col).cast("string").alias("id"), size.cast("bigint").alias("n")).withColumn("row", F.monotonically_increasing_id()), "items")
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))
     pieces = items.where("n > 0").select("id", "row", F.explode(parts).alias("part"), "n").select(
         "id", "part", F.concat_ws("/", "row", "part").alias("piece"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("part") * capacity).alias("size")
     )
     whole = pieces.where(F.col("size") == capacity).select("id", "part", F.concat(F.lit("w-"), "piece").alias("container"), F.lit(0).cast("bigint").alias("position"), "size")
     loose = pieces.where(F.col("size") < capacity)
-    n = loose.count()
-    packers, round_ = max(1, -(-n // per_packer)), 0
-    # the first round carries the ids along; boxes not yet full are the pieces of the next
-    where = _round(loose, packers, capacity, 0).select("id", "part", "box", "at", "size").checkpoint()
-    boxes = where.groupBy("box").agg(F.sum("size").alias("size"))
-    while packers > 1:
+    # the first round carries the ids along
+    where = written(_round(loose, loose.count(), per_packer, capacity, 0).select("id", "part", "box", "at", "size"), "packed")
+    left, n = _open(where.groupBy("box").agg(F.sum("size").alias("size")), capacity, full)
+    moves, round_ = None, 0
+    while n > 1:
         round_ += 1
-        packers = max(1, packers // 16)
-        left = boxes.where(F.col("size") < full * capacity).select(F.col("box").alias("piece"), "size")
-        moved = _round(left, packers, capacity, round_).checkpoint()
-        where = where.join(moved.select(F.col("piece").alias("box"), F.col("box").alias("to"), F.col("at").alias("shift")).hint("merge"), "box", "left")
-        where = where.select("id", "part", F.coalesce("to", "box").alias("box"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("at"), "size").checkpoint()
-        boxes = moved.groupBy("box").agg(F.sum("size").alias("size"))
+        moved = written(_round(left, n, per_packer, capacity, round_), "packed")
+        step = moved.select(F.col("piece"), F.col("box").alias("next"), F.col("at").alias("further"))
+        if moves is None:
+            moves = step.select(F.col("piece").alias("box"), F.col("next").alias("to"), F.col("further").alias("shift"))
+        else:
+            joined = moves.join(step.hint("merge"), F.col("to") == F.col("piece"), "left")
+            moves = joined.select("box", F.coalesce("next", "to").alias("to"), (F.col("shift") + F.coalesce("further", F.lit(0))).alias("shift")).checkpoint()
+        boxes = moved.groupBy("box").agg(F.sum("size").alias("size")).checkpoint()
+        if boxes.count() > 0.75 * n or n <= per_packer:
+            break
+        left, n = _open(boxes, capacity, full)
+    if moves is not None:
+        where = where.join(moves.hint("merge"), "box", "left").select("id", "part", F.coalesce("to", "box").alias("box"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("at"), "size")
     placed_all = whole.unionByName(where.select("id", "part", F.col("box").alias("container"), F.col("at").alias("position"), "size"))
     empty = items.where("n <= 0 or n is null").select("id", F.lit(0).alias("part"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("bigint").alias("position"), F.lit(0).cast("bigint").alias("size"))
     return placed_all.unionByName(empty).withColumn("id", F.col("id").cast(id_type))
 
 
 def usage(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens and the share of space that is unused."""
+    """One row: containers, tokens, the least number of containers that could hold these, and the share of space that is unused."""
     used = packed.where(F.col("container").isNotNull())
     boxes = used.groupBy("container").agg(F.sum("size").alias("filled"))
-    return boxes.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("filled").alias("n_tokens"), (1 - F.sum("filled") / (F.count(F.lit(1)) * capacity)).alias("unused"))
+    n, filled = F.count(F.lit(1)), F.coalesce(F.sum("filled"), F.lit(0))
+    return boxes.agg(n.alias("n_containers"), filled.alias("n_tokens"), F.ceil(filled / capacity).alias("n_least"), F.when(n > 0, 1 - filled / (n * capacity)).alias("unused"))
+
+
+def sound(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(id, n_parts, n_tokens, fits) per item: fits if none of its containers is overfull and the pieces in each lie end to end from 0."""
+    boxes = packed.where(F.col("container").isNotNull()).groupBy("container").agg(
+        F.sum("size").alias("filled"), F.max(F.col("position") + F.col("size")).alias("upto"), F.sort_array(F.collect_list(F.struct("position", "size"))).alias("all")
+    )  # a container holds at most capacity pieces
+    ends = F.transform(F.col("all"), lambda x: x["position"] + x["size"])
+    begins = F.transform(F.col("all"), lambda x: x["position"])
+    tight = (F.col("filled") <= capacity) & (begins[0] == 0) & (F.slice(begins, 2, F.size("all")) == F.slice(ends, 1, F.size("all") - 1))
+    judged = packed.join(boxes.select("container", tight.alias("tight")), "container", "left")
+    return judged.groupBy("id").agg(F.count("container").alias("n_parts"), F.sum("size").alias("n_tokens"), F.bool_and(F.coalesce("tight", F.lit(True))).alias("fits"))
