@@ -36,6 +36,15 @@ def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
     return frequent.frequent(table(spark, d, "ulp_secrets"), "password").select(F.col("value").alias("password"), "low", "high")
 
 
+def p2_covered(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent values with their exact counts, and whether the interval guaranteed for each covers it."""
+    rows = table(spark, d, "ulp_secrets")
+    exact = frequent.frequent_exact(rows, "password").select(F.col("value").alias("password"), "n")
+    narrow = F.col("high") - F.col("low") <= frequent.EPSILON_SHARE * frequent.SUPPORT * F.col("rows")
+    spans = frequent.frequent(rows, "password").select(F.col("value").alias("password"), "low", "high", narrow.alias("narrow"))
+    return exact.join(spans, "password", "left").select("password", "n", F.coalesce(F.col("n").between(F.col("low"), F.col("high")) & F.col("narrow"), F.lit(False)).alias("covered"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.members(table(spark, d, "ulp_records"))
 
@@ -79,6 +88,12 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p8_pack(spark, d))
 
 
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Packed by the table's own counts: what SQL can say about every item of a sound packing."""
+    docs = table(spark, d, "documents").select("doc_id", "n_tokens")
+    return packing.sound(packing.pack(docs, size=packing.size_column(docs, tokenizer=None))).withColumnRenamed("id", "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -110,10 +125,17 @@ with k as (
 ), g as (select x, y, min(record_id) as first_record_id, count(*) as n_copies from k group by x, y)
 """
 
+_GRAMS = """select {0}, unnest(list_transform(generate_series(1, len(w) - 12), lambda k: array_to_string(w[k : k + 12], ' '))) as g
+  from (select {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from {1} where {0} is not null)"""
+_LEAKS = f"with d as ({_GRAMS.format('doc_id', 'documents')}), i as ({_GRAMS.format('item_id', 'benchmark')}) "
+
 SQL: dict[str, str] = {
     "p2_found": """
         select password from ulp_secrets where password <> '' group by password
         having count(*) >= 0.0025 * (select count(*) from ulp_secrets where password <> '')""",
+    "p2_covered": """
+        select password, count(*) as n, true as covered from ulp_secrets where password <> '' group by password
+        having count(*) >= 0.0025 * (select count(*) from ulp_secrets where password <> '')""",
     "p3_found": _KEYED + "select g.first_record_id, k.record_id from k join g using (x, y) where k.record_id <> g.first_record_id",
     "p3_collapsed": _KEYED + "select first_record_id, n_copies from g",
     "p4_found": f"""
@@ -125,4 +147,7 @@ SQL: dict[str, str] = {
     "p4_wrong_rate": f"""
         select count(*) as n_rows, count(*) filter (record_id > first_id) as n_repeats, cast(0 as bigint) as n_wrong, cast(0 as double) as wrong_rate from (
           select record_id, min(record_id) over (partition by url, username) as first_id from ulp_records where {_PRESENT})""",
+    "p9_found": _LEAKS + "select distinct doc_id, item_id from d join i using (g)",
+    "p9_items": _LEAKS + "select item_id, count(distinct doc_id) as n_docs from d join i using (g) group by item_id",
+    "p8_sound": "select doc_id, cast(ceil(coalesce(n_tokens, 0) / 2048) as bigint) as n_parts, coalesce(n_tokens, 0)::bigint as n_tokens, true as fits from documents",
 }

@@ -27,6 +27,7 @@ def test_lossy_count_keeps_its_promise(values, epsilon):
             assert low <= n <= low + delta
         else:
             assert n <= bound
+    assert len(entries) <= 2 / epsilon
 
 
 def test_frequent(spark):
@@ -43,6 +44,18 @@ def test_frequent(spark):
     assert {x.value for x in frequent.frequent(df, "value", 0.004).collect()} >= set(got)
 
 
+def test_summaries_are_small(spark):
+    rare = spark.range(60_000).select(F.col("id").cast("string").alias("v"))
+    hot = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("v"))
+    for parts in (1, 50):
+        got = {x.value: x for x in frequent.summarise(rare.unionByName(hot).repartition(parts), "v", 0.01).collect()}
+        assert {"a", "b"} <= set(got) and len(got) <= 200
+        assert all(got[v].low <= 1500 <= got[v].high for v in "ab")
+    for epsilon in (0.5, 0.6, 0.0):
+        with pytest.raises(ValueError):
+            frequent.frequent(hot, "v", 0.5, epsilon)
+
+
 def test_frequent_edges(spark):
     df = spark.createDataFrame([(None,), ("",)], "v string")
     assert frequent.frequent_exact(df, "v").count() == 0 and frequent.frequent(df.limit(0), "v").count() == 0
@@ -243,6 +256,21 @@ def test_pack(spark, per_packer):
     assert boxes <= (1.03 if per_packer > 100 else 1.1) * total / 100 + 2
 
 
+@pytest.mark.parametrize("sizes", [(1100, 1899), (1, 1899), (700, 1100)])
+def test_no_packer_sees_more_than_its_bound(spark, sizes):
+    r = random.Random(8)
+    rows = [(i, r.randint(*sizes)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, n bigint")
+    packed = packing.pack(df, "id", F.col("n"), 2048, 200).collect()
+    check(rows, packed, 2048)
+    own = Counter(p.container.rpartition("-")[0] for p in packed if p.container.startswith("0-"))
+    assert all(n <= 200 for n in own.values())
+    if sizes[0] > 1024:  # no two fit together
+        assert len(own) >= 15 and len({p.container for p in packed}) == 3000
+    for row in packing.sound(packing.pack(df, "id", F.col("n"), 2048, 200), 2048).where("not fits or n_parts <> 1").limit(1).collect():
+        raise AssertionError(row)
+
+
 def test_pack_edges(spark):
     df = spark.createDataFrame([(1, 0)], "id bigint, n bigint")
     assert packing.pack(df.limit(0), "id", F.col("n"), 10).count() == 0
@@ -271,3 +299,5 @@ def test_token_counts(spark):
     got = [r[0] for r in df.select(packing.size_column(df)).collect()]
     assert got[1:] == [0, 0] and 5 <= got[0] <= 10
     assert [r[0] for r in df.select(packing.size_column(df, tokenizer=None)).collect()] == [3, 3, 3]
+    with pytest.raises(FileNotFoundError):
+        packing.size_column(df, tokenizer="/no/such/file")
