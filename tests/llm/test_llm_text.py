@@ -189,18 +189,50 @@ def test_pairs_of_many_copies(spark):
 # ---------------------------------------------------------------- leakage
 
 
+def words_of(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def brute(doc, item, window):
-    a, b = leakage.words_of(doc), leakage.words_of(item)
+    a, b = words_of(doc), words_of(item)
     grams = {tuple(b[i : i + window]) for i in range(len(b) - window + 1)}
     return any(tuple(a[i : i + window]) in grams for i in range(len(a) - window + 1))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="abc", min_size=1, max_size=1), max_size=60), st.lists(st.lists(st.text(alphabet="abcd", min_size=1, max_size=1), max_size=12), min_size=1, max_size=4), st.integers(2, 5))
-def test_search_against_brute_force(doc, items, window):
-    text, items = " ".join(doc), [(i, " ".join(x)) for i, x in enumerate(items)]
-    engine = leakage.WuManber([(i, leakage.words_of(t)) for i, t in items], window)
-    assert engine.search(text) == {i for i, t in items if brute(text, t, window)}
+WORDS = st.sampled_from(["a", "b", "c", "d", "é", "漢字", "x1", "B"])
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.lists(WORDS, max_size=60), max_size=4), st.lists(st.lists(WORDS, max_size=12), min_size=1, max_size=4), st.integers(2, 5), st.sampled_from([" ", "_", "\r\n+# "]))
+def test_search_against_brute_force(docs, items, window, between):
+    docs, items = [between.join(d) for d in docs], [(i, " ".join(x)) for i, x in enumerate(items)]
+    engine = leakage.WuManber([(i, t.lower()) for i, t in items], window)
+    assert engine.search_all([d.lower() for d in docs]) == [{i for i, t in items if brute(d, t, window)} for d in docs]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=60))
+def test_words_are_those_of_the_pattern(text):
+    text = text.lower()
+    _, begin, end = leakage.word_hashes(text)
+    assert [text[b:e] for b, e in zip(begin, end, strict=True)] == words_of(text)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(leakage, "PIECE", 50)
+    monkeypatch.setattr(leakage, "STRETCH", 4)
+    r = random.Random(2)
+    docs = [" ".join(r.choice("abc") * r.choice([1, 1, 1, 70]) for _ in range(n)) for n in (0, 3, 40, 300, 5, 90)]
+    items = [(i, " ".join(r.choice("abc") for _ in range(9))) for i in range(6)]
+    assert leakage.WuManber(items, 4).search_all(docs) == [{i for i, t in items if brute(d, t, 4)} for d in docs]
+
+
+def test_an_item_longer_than_a_block(spark):
+    r = random.Random(1)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    docs = [(k, " ".join(words[k : k + 13])) for k in range(188)] + [(188, " ".join(words)), (189, " ".join(words[5:17])), (190, "x")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    assert sorted(tuple(x) for x in leakage.leaks(d, i, block_words=40).collect()) == [(k, 1) for k in range(189)]
 
 
 def test_leaks(spark):
@@ -217,7 +249,7 @@ def test_leaks(spark):
     got = sorted((x.doc_id, x.item_id) for x in leakage.leaks(d, i).collect())
     assert got == sorted((a, b) for a in (1, 3, 3, 6) for b in (10, 11))
     # the items in several blocks find the same
-    assert sorted((x.doc_id, x.item_id) for x in leakage.leaks(d, i, block_words=5).collect()) == got
+    assert sorted((x.doc_id, x.item_id) for x in leakage.leaks(d, i, block_words=14).collect()) == got
     assert leakage.leaks(d, i.limit(0)).count() == 0 and leakage.leaks(d.limit(0), i).count() == 0
 
 
