@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limpid.session import written
+
 try:
     import ahocorasick
 except ImportError:  # then the words are searched one by one
@@ -43,20 +45,25 @@ TRAIN_ROWS = 20_000
 
 # ---------------------------------------------------------------- patterns
 
-_U = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
+#: Capital letters: Latin, Greek, Cyrillic and Armenian.
+_U = "A-ZΆΈ-ΏΑ-ΫЀ-ЯѠҐԱ-ՖÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
 _DOMAIN = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
-_SPELT = re.compile(r"([\w.+-]*[\w+])(?: at | \(at\) | \[at\] |\(at\)|\[at\])((?:[^\W_][\w-]*)(?:(?: dot | \(dot\) | \[dot\] |\[dot\]|\(dot\))[^\W_][\w-]*)+)", re.I)
+#: "at" in brackets before any domain, or plain before a domain that is spelt out too.
+_SPELT = re.compile(
+    r"([\w.+-]*[\w+])(?: ?(?:\(at\)|\[at\]|\{at\}) ?([^\W_][\w-]*(?:(?:\.| dot | ?\(dot\) ?| ?\[dot\] ?)[^\W_][\w-]*)+)"
+    r"| at ([^\W_][\w-]*(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?)[^\W_][\w-]*)+))", re.I
+)
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.+-_%")
 
 #: Cheap first pass: characters of which numbers consist.
-_NUMBER_RUN = re.compile(r"[+(\d][\dA-Z ().\-/]{7,}")
+_NUMBER_RUN = re.compile(r"[+(\d][\dA-ZÑ ().\-/]{7,}")
 _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(
     r"[+(\d](?:"
     r"(?<=\+)\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,6}"  # international
     r"|(?<=\()\d{2,5}\)[ \-]?\d{3,5}(?:[ \-]\d{2,5}){0,2}"  # (312) 555-0198
     r"|\d{7}-\d{4}"  # date of birth and serial
-    r"|\d{7}[ -]?[A-Z](?![\w])"  # eight digits and a check letter
+    r"|\d{7}[ -]?[A-ZÑ](?![\w])"  # eight digits and a check letter
     r"|\d[A-Z]{2}\d{5}"
     r"|\d{1,2}/\d{3}/\d{4,5}"
     r"| \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?"  # thirteen digits and key
@@ -105,11 +112,11 @@ _ADDRESS_START = re.compile(rf"(?:Flat|Apt\.?|Apartment|Unit|Suite) \w{{1,5}},?
 # ---------------------------------------------------------------- cues (compared in lower case)
 
 _CUE = {
-    "phone": re.compile(r"(?:\btel|t[ée]l\b|phone|mobile|\bcell|\bcall|pager|\bfax|number is|reach (?:me|us|him|her)|joindre|llamar|r[üu]ckruf|tfno|desk|handy|hotline|whatsapp|sms|dial)[^\d]{0,32}$"),
-    "id_number": re.compile(r"(?:ssn|social.?security|s[ée]curit[ée] sociale|passport|passeport|pasaporte|reisepass|national|id.?card|id.?number|check_id|\bdni\b|\bnif\b|\bnie\b|ausweis|steuer|tax.?id|\btin\b|personal.?(?:id|n)|identity|personnummer|insee|\bcurp\b|\brecord\b|customer with)[^\d]{0,30}$"),
-    "address": re.compile(r"(?:\bat\b|\bto\b|lives?|address|addr|street|home|office|ship|parcel|deliver|colis|domicile|livr|lieferung|wohn|adresse|anschrift|vive|entrega|direcci|domicilio|shows|residen)[^\d]{0,24}$"),
+    "phone": re.compile(r"(?:\btel|t[ée]l\b|phone|mobile|\bcell|\bcall|pager|\bfax|number is|reach (?:me|us|him|her)|joindre|llamar|r[üu]ckruf|tfno|desk|handy|hotline|whatsapp|sms|dial)[^\d]{0,32}(?:\b\d{1,3}\b[^\d\w]{1,6})?$"),
+    "id_number": re.compile(r"(?:ssn|social.?security|s[ée]curit[ée] sociale|passport|passeport|pasaporte|reisepass|national|id.?card|id.?number|\bdni\b|\bnif\b|\bnie\b|ausweis|steuer|tax.?id|\btin\b|personal.?(?:id|n)|identity|personnummer|insee|\bcurp\b|\brecord\b)[^\d]{0,30}$"),
+    "address": re.compile(r"(?:\bat\b|\bto\b|lives?|address|addr|street|home|office|ship|deliver|colis|domicile|livr|lieferung|wohn|adresse|anschrift|vive|entrega|direcci|domicilio|shows|residen)[^\d]{0,24}$"),
     "name": re.compile(
-        rf"(?:(?:by|from|to|with|ask|thanks|cc|as|owner|author|reviewer|maintainer|name|contact|assignee|von|an|mit|par|à|avec|a|con|de|por|greet|hi|dear|hello|user|customer|patient|employee|signed|{_TITLE.lower()[3:-1]})[\s:='\"(\[.<*_]{{1,6}}(?:(?:la|el|the) )?(?:{_TITLE.lower()}\.? )?)$"
+        rf"(?:(?:by|from|to|with|ask|thanks|cc|as|owner|author|reviewer|maintainer|name|contact|assignee|von|an|mit|par|à|avec|a|con|de|por|hi|dear|hello|user|customer|patient|employee|signed|{_TITLE.lower()[3:-1]})[\s:='\"(\[.<*_]{{1,6}}(?:(?:la|el|the) )?(?:{_TITLE.lower()}\.? )?)$"
     ),
     "email": re.compile(r"(?:<|mailto:|\bto\b|e-?mail|contact|from|kontakt|mail|owner at|write|escribir|[ée]crire|fragen|questions?|dudas|smtp|values|user|cc|reply|author|by)[^@]{0,24}$"),
 }
@@ -144,13 +151,17 @@ def _fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+_DENSE = re.compile(r"[^\s'\",:;\[\]\\]+")
+_DENSE_END = re.compile(r"[^\s'\",:;\[\]\\]+\Z")
+
+
 class _Line:
     """The context of spans of one line."""
 
-    __slots__ = ("text", "begin", "end", "_dense", "_loud")
+    __slots__ = ("text", "begin", "end", "_loud")
 
     def __init__(self, text: str, begin: int, end: int):
-        self.text, self.begin, self.end, self._dense, self._loud = text, begin, end, None, None
+        self.text, self.begin, self.end, self._loud = text, begin, end, None
 
     def before(self, at: int, n: int = 60) -> str:
         return self.text[max(self.begin, at - n) : at].lower()
@@ -158,13 +169,11 @@ class _Line:
     def after(self, at: int, n: int = 110) -> str:
         return self.text[at : min(self.end, at + n)].lower()
 
-    @property
-    def encoded(self) -> bool:
-        """Looks like encoded bytes: long, hardly a space."""
-        if self._dense is None:
-            n = self.end - self.begin
-            self._dense = n > 40 and self.text.count(" ", self.begin, self.end) < n / 40
-        return self._dense
+    def encoded(self, begin: int, end: int) -> bool:
+        """Do encoded bytes stand around a span? A stretch of 40 characters or more without blanks or what divides values, other than in the span."""
+        low, high = max(self.begin, begin - 60), min(self.end, end + 60)
+        before, after = _DENSE_END.search(self.text, low, begin), _DENSE.match(self.text, end, high)
+        return (end - begin) + len(before[0] if before else "") + len(after[0] if after else "") > (end - begin) + 40
 
     @property
     def loud(self) -> bool:
@@ -182,7 +191,7 @@ _SHAPES = {
         re.compile(r"\d{3} \d{3} \d{4}|\d{10}"),
     ),
     "id_number": (
-        re.compile(r"[A-Z]{1,3}\d{6,8}[A-Z]?|\d{2}[A-Z]{2}\d{5}|[A-Z](?=\w*\d)[0-9A-Z]{8}|\d{8}[ -]?[A-Z]|[1-8] \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?|\d{2}/\d{3}/\d{5}"),
+        re.compile(r"[A-Z]{1,3}\d{6,8}[A-Z]?|\d{2}[A-Z]{2}\d{5}|[A-Z](?=\w*\d)[0-9A-Z]{8}|\d{8}[ -]?[A-ZÑ]|[1-8] \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?|\d{2}/\d{3}/\d{5}"),
         re.compile(r"(?:19|20)\d{6}-\d{4}"),
         re.compile(r"\d{3}([ -])\d\d\1\d{4}"),
     ),
@@ -218,9 +227,9 @@ def _emails(text: str, line_of) -> Iterator[tuple]:
             if begin < i:
                 yield from _email(text, begin, i, m.end(), m[0], line_of(i))
         i = text.find("@", i + 1)
-    if " dot " in text or "dot)" in text or "dot]" in text or " DOT " in text:
+    if any(w in text for w in (" dot ", " DOT ", "dot)", "dot]", "(at)", "[at]", "{at}", "(AT)", "[AT]")):
         for m in _SPELT.finditer(text):
-            yield from _email(text, m.start(), m.end(1), m.end(), re.sub(r"[ (\[]*dot[ )\]]*", ".", m[2], flags=re.I), line_of(m.start()))
+            yield from _email(text, m.start(), m.end(1), m.end(), re.sub(r"[ (\[]*dot[ )\]]*", ".", m[2] or m[3], flags=re.I), line_of(m.start()))
 
 
 def _email(text: str, begin: int, at: int, end: int, domain: str, line: _Line) -> Iterator[tuple]:
@@ -232,7 +241,7 @@ def _email(text: str, begin: int, at: int, end: int, domain: str, line: _Line) -
         1 if last.isalpha() and len(last) >= 2 else -1,
         -1 if inside or (before.endswith(":") and re.search(r"://\S*$", before)) else 0,
         -1 if after == ":" and re.match(r":[\w~./-]", text[end : end + 3]) else 1 if after in (">", "'", '"', ".", ",", ")", "]", "", "\n", "\r", " ", "<") else 0,
-        -1 if line.encoded and (line.end - line.begin) > 55 and begin > line.begin + 1 and text[begin - 1] not in "<'\"=: " else 0,
+        -1 if begin > line.begin + 1 and text[begin - 1] not in "<'\"=: " and line.encoded(begin, end) else 0,
         -1 if _REMOTE.search(before) else 1 if _CUE["email"].search(before) else 0,
         -1 if domain.replace(".", "").isdigit() else 1 if len(domain) >= 6 else 0,
     )
@@ -303,7 +312,7 @@ def _addresses(text: str, line_of) -> Iterator[tuple]:
             lines[line.begin] = line
             past = line.end
     for line in lines.values():
-        if not _HAS_NUMBER.search(text, line.begin, line.end) or line.encoded:
+        if not _HAS_NUMBER.search(text, line.begin, line.end):
             continue
         held: list[tuple[int, int]] = []
         for pattern in _ADDRESS:
@@ -376,7 +385,7 @@ def _names(text: str, line_of, taken: list[tuple[int, int]]) -> Iterator[tuple]:
             1 if folded in _GIVEN or (len(folded) == 1 and first.endswith(".")) or any(p in _GIVEN for p in folded.split("-")) else 0,
             -1 if (low_first in _NOT_NAME and not first.endswith(".")) or low_last in _NOT_NAME or loud or mixed else 0,
             -1 if re.search(r"(?:release|codename|version|branch|project|product|theme)\W{1,3}$", before) or re.match(r"[\"']? v?\d", after) else 1 if tail["mid"] or left in "'\"" and text[end : end + 1] in "'\"" else 0,
-            -1 if line.encoded or more else 1 if text[end : end + 1] in ("", "\n", "\r", ".", ",", "'", '"', " ", "<", ")", ";") else 0,
+            -1 if more or line.encoded(begin, end) else 1 if text[end : end + 1] in ("", "\n", "\r", ".", ",", "'", '"', " ", "<", ")", ";") else 0,
         )
         yield begin, end, "name", votes
         if votes[3] >= 0:
@@ -423,28 +432,36 @@ def _decode(patterns: np.ndarray) -> np.ndarray:
     return out
 
 
-def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Posterior that a span is personal, of each vote pattern: EM for a two-class model of conditionally
-    independent labelers that may abstain, started where a vote is right four times in five."""
+#: Prior of a labeler's answers (against, none, for) on spans that are personal and on spans that are not: a Dirichlet
+#: distribution that weighs as much as this share of the spans.
+PRIOR = np.array([[0.02, 0.5, 0.48], [0.4, 0.5, 0.1]])
+PRIOR_SHARE = 0.03
+
+
+def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expectation-maximisation for a two-class model of conditionally independent labelers that may abstain.
+
+    Returns the posterior of each vote pattern that a span is personal; how often each labeler votes -1, 0 and 1 on
+    spans of either class, as [class, labeler, vote + 1] with the personal class first; and the share of that class.
+    Nothing but the prior holds the estimates; a labeler that the votes of the others do not bear out loses its weight.
+    """
     votes = _decode(patterns)
     weight = counts / counts.sum()
-    start = votes.sum(1).astype(float)
-    posterior = 1 / (1 + np.exp(-1.5 * start))
-    posterior[(votes < 0).any(1)] *= 0.15  # a labeler that votes against has seen a reason
+    answers = np.repeat(PRIOR[:, None, :], LABELERS, axis=1)
+    hit = np.stack([votes == v for v in (-1, 0, 1)], axis=2)  # [pattern, labeler, vote]
+    share = 0.5
     for _ in range(rounds):
-        p = np.clip((weight * posterior).sum(), 0.02, 0.98)
-        logit = np.full(len(votes), np.log(p / (1 - p)))
-        for j in range(LABELERS):
-            for v in (-1, 0, 1):
-                hit = votes[:, j] == v
-                yes = (weight[hit] * posterior[hit]).sum() / (weight * posterior).sum() if hit.any() else 0
-                no = (weight[hit] * (1 - posterior[hit])).sum() / max((weight * (1 - posterior)).sum(), 1e-9) if hit.any() else 0
-                ratio = np.log((yes + 0.02) / (no + 0.02))
-                # a vote never counts for the opposite of what it says; an abstention counts little
-                ratio = max(ratio, 0.3) if v > 0 else min(ratio, -2.5) if v < 0 else float(np.clip(ratio, -1.0, 1.0))
-                logit[hit] += ratio
+        logit = np.log(share / (1 - share)) + (hit * np.log(answers[0] / answers[1])).sum((1, 2))
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior
+        before, new = share, []
+        for k, p in enumerate((weight * posterior, weight * (1 - posterior))):
+            seen = np.einsum("p,plv->lv", p, hit) + PRIOR_SHARE * PRIOR[k]
+            new.append(seen / seen.sum(1, keepdims=True))
+        answers = np.stack(new)
+        share = float(np.clip(((weight * posterior).sum() + 0.5 * PRIOR_SHARE) / (1 + PRIOR_SHARE), 0.01, 0.99))
+        if abs(share - before) < 1e-9:
+            break
+    return posterior, answers, share
 
 
 def _logit(w: np.ndarray, dense: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -512,6 +529,16 @@ def candidate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(run, _CANDIDATE)
 
 
+def _posteriors(counted: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, tuple]]:
+    """By type: vote patterns, how often each occurs, and what reliabilities() makes of them."""
+    out = {}
+    for kind, own in counted.groupby("pii_type"):
+        own = own.sort_values("pattern")
+        patterns, counts = own["pattern"].to_numpy(dtype=np.int64), own["count"].to_numpy(dtype=float)
+        out[str(kind)] = patterns, counts, reliabilities(patterns, counts)
+    return out
+
+
 def train(spans: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Classifier weights by type, from the vote patterns of all candidates and a bounded sample of them."""
     counted = spans.groupBy("pii_type", "pattern").count().toPandas()  # at most 5 * 3**LABELERS rows
@@ -521,16 +548,14 @@ def train(spans: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarra
     rows_ = spans.select("pii_type", "pattern", "c0", "c1", "c2", drawn.alias("h")).where(F.col("h") < F.lit(int((2 * share - 1) * 2**52)))
     sample = rows_.orderBy("h", "pattern", "c0", "c1", "c2").limit(train_rows).toPandas()
     models = {}
-    for kind, own in counted.groupby("pii_type"):
-        patterns = own["pattern"].to_numpy(dtype=np.int64)
-        posterior = reliabilities(patterns, own["count"].to_numpy(dtype=float))
+    for kind, (patterns, _, (posterior, _, _)) in _posteriors(counted).items():
         rows = sample[sample["pii_type"] == kind]
         known = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
         # every pattern is seen at least once, whatever the sample holds
         votes = np.concatenate([_decode(rows["pattern"].to_numpy(dtype=np.int64)), _decode(patterns)])
         context = np.concatenate([rows[["c0", "c1", "c2"]].to_numpy(dtype=np.int64).reshape(-1, 3), np.zeros((len(patterns), 3), dtype=np.int64)])
         target = np.array([known[p] for p in rows["pattern"]] + posterior.tolist())
-        models[str(kind)] = fit(votes, context, target)
+        models[kind] = fit(votes, context, target)
     return models
 
 
@@ -564,35 +589,68 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return best.select("doc_id", F.col("best.pii_type").alias("pii_type"), "pii_text")
 
 
+_SPANS = ("begins", "ends", "kinds", "patterns", "c0", "c1", "c2")
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, redacted text, number of spans replaced: each accepted span becomes ``[TYPE]``, all else is unchanged.
 
-    The texts themselves are mapped a second time with the fitted weights (a few kB), which is cheaper than to
-    shuffle them to their spans.
+    The candidates are looked for once and written beside their texts, the classifier is fitted on them, and a second
+    map over what was written replaces the accepted ones; no text is shuffled.
     """
-    models = train(candidate_spans(df, id_col, text_col).checkpoint(), train_rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = [[(b, e, TYPES.index(t), _encode(v), *_context(text, b, e)) for b, e, t, v in candidates(text)] if isinstance(text, str) else [] for text in batch["text"]]
+            yield batch.assign(**{name: [[s[k] for s in own] for own in spans] for k, name in enumerate(_SPANS)})
+
+    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [redact_text(models, t, threshold) for t in batch["text"]]
+            rows = [_replaced(models, t, own, threshold) for t, *own in zip(batch["text"], *(batch[c] for c in _SPANS), strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "redacted": [r[0] for r in rows], "n_spans": [r[1] for r in rows]})
 
     # the id travels as text, since pandas would turn whole numbers beside a null into floats
-    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, redacted string, n_spans int")
+    texts = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    found = written(texts.mapInPandas(find, "doc_id string, text string, " + ", ".join(f"{c} array<int>" for c in _SPANS)), "spans")
+    named = F.element_at(F.array(*map(F.lit, TYPES)), F.col("s.kinds") + 1)
+    spans = found.select(F.xxhash64("doc_id").alias("doc_id"), F.explode(F.arrays_zip(*_SPANS)).alias("s")).select(
+        "doc_id", F.col("s.begins").alias("begin"), named.alias("pii_type"), F.col("s.patterns").alias("pattern"), *[F.col(f"s.{c}").alias(c) for c in ("c0", "c1", "c2")]
+    )
+    models = train(spans, train_rows)
+    rows = found.mapInPandas(replace, "doc_id string, redacted string, n_spans int")
     return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def redact_text(models: dict[str, np.ndarray], text: str | None, threshold: float = 0.5) -> tuple[str | None, int]:
-    found = candidates(text) if isinstance(text, str) else []
-    if not found:
+def _replaced(models: dict[str, np.ndarray], text: str | None, spans: list, threshold: float) -> tuple[str | None, int]:
+    """text with its accepted spans replaced, and how many."""
+    begins, ends, kinds, patterns, *context = map(np.asarray, spans)
+    if not isinstance(text, str) or not len(begins):
         return (text if isinstance(text, str) else None), 0
-    p = score(models, np.array([c[2] for c in found]), np.array([_encode(c[3]) for c in found]), np.array([_context(text, c[0], c[1]) for c in found]))
-    chosen, out, at = sorted((-s, c[0], c[1], c[2]) for s, c in zip(p, found, strict=True) if s >= threshold), [], 0
+    names = np.array(TYPES, dtype=object)[kinds]
+    p = score(models, names, patterns, np.stack(context, axis=1).astype(np.int64))
+    chosen = sorted((-s, int(b), int(e), k) for s, b, e, k in zip(p, begins, ends, names, strict=True) if s >= threshold)
     free: list[tuple[int, int, str]] = []
     for _, b, e, kind in chosen:  # likelier spans first; a later one that overlaps is part of it
-        if all(e <= x or b >= y for x, y, _ in free):
-            free.append((b, e, kind))
-    for b, e, kind in sorted(free):
+        k = bisect.bisect_left(free, (b,))
+        if (k == 0 or free[k - 1][1] <= b) and (k == len(free) or free[k][0] >= e):
+            free.insert(k, (b, e, kind))
+    out, at = [], 0
+    for b, e, kind in free:
         out += [text[at:b], f"[{kind.upper()}]"]
         at = e
     return "".join([*out, text[at:]]), len(free)
+
+
+def labelers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(pii_type, labeler, vote, share_personal, share_other): how often a labeler votes so on personal spans and on others, as estimated over all texts.
+
+    One row per type, labeler and vote of -1, 0 and 1; no candidates of a type, no rows of it.
+    """
+    counted = candidate_spans(df, id_col, text_col).groupBy("pii_type", "pattern").count().toPandas()  # at most 5 * 3**LABELERS rows
+    rows = [
+        (kind, j + 1, v - 1, float(answers[0, j, v]), float(answers[1, j, v]))
+        for kind, (_, _, (_, answers, _)) in _posteriors(counted).items()
+        for j in range(LABELERS)
+        for v in range(3)
+    ]
+    return df.sparkSession.createDataFrame(rows, "pii_type string, labeler int, vote int, share_personal double, share_other double")

@@ -110,6 +110,10 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"))
 
 
+def p10_labelers(spark: SparkSession, d: str) -> DataFrame:
+    return pii.labelers(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: (lambda s, d, f=f: f(prepare(s), d))
     for name, f in globals().copy().items()

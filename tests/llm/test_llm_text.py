@@ -279,6 +279,9 @@ GOOD = [
     ("Rücksprache mit Frau Pelvier, Viktor nötig.", {("name", "Pelvier, Viktor")}),
     ('release "Velvet Otter" 3.59.6', set()),
     ("From: dep-updater[bot] <bot@forge.example>", {("email", "bot@forge.example")}),
+    ("Questions to lnul (at) vuwopost.com.example.", {("email", "lnul (at) vuwopost.com.example")}),
+    ("El DNI 19779761Ñ se rechaza.", {("id_number", "19779761Ñ")}),
+    ("Author: Иван Петров <ipetrov@box.example>", {("name", "Иван Петров"), ("email", "ipetrov@box.example")}),
 ]
 
 
@@ -313,3 +316,32 @@ def test_addresses_of_several_formats_in_a_line():
         spans = sorted((b, e) for b, e, kind, _ in pii.candidates(line) if kind == "address")
         assert {line[b:e] for b, e in spans} == {w for w in ways if w in line}
         assert all(e <= b for (_, e), (b, _) in zip(spans, spans[1:]))
+
+
+def test_address_in_a_long_line_with_few_blanks():
+    fields = ",".join(f'"field{i}":"{i:x}value{i}"' for i in range(250))
+    line = "{" + fields + ',"ship_to":"12 Long Street, Newtown 12345","contact":"Anna Velm","mail":"a.velm@box.example",' + fields + "}"
+    assert len(line) > 10_000 and line.count(" ") < 6
+    spans = {(kind, line[b:e]): votes for b, e, kind, votes in pii.candidates(line)}
+    assert ("address", "12 Long Street, Newtown 12345") in spans and min(spans["address", "12 Long Street, Newtown 12345"]) >= 0
+    assert min(spans["name", "Anna Velm"]) >= 0 and min(spans["email", "a.velm@box.example"]) >= 0
+
+
+def test_reliabilities_are_learnt():
+    """A labeler that says the opposite of the others, and one that guesses, lose or turn their weight."""
+    r = random.Random(4)
+    true = [r.random() < 0.4 for _ in range(20_000)]
+    votes = [[(1 if r.random() < 0.9 else -1) * (1 if y else -1) for _ in range(4)] + [r.choice((-1, 0, 1)), (-1 if y else 1)] for y in true]
+    patterns, counts = pii.np.unique([pii._encode(v) for v in votes], return_counts=True)
+    posterior, answers, share = pii.reliabilities(patterns, counts.astype(float))
+    known = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
+    right = sum((known[pii._encode(v)] >= 0.5) == y for v, y in zip(votes, true, strict=True))
+    assert right > 0.99 * len(true) and abs(share - 0.4) < 0.03
+    assert abs(pii.np.log(answers[0, 4, 2] / answers[1, 4, 2])) < 0.2 and answers[0, 5, 2] < 0.1 < answers[1, 5, 2]
+
+
+def test_labelers(spark):
+    df = spark.createDataFrame([(i, "Mail a.b@c.example or call +44 7700 900123") for i in range(20)], "doc_id bigint, text string")
+    rows = pii.labelers(df).collect()
+    assert len(rows) == 2 * 6 * 3 and {x.pii_type for x in rows} == {"email", "phone"}
+    assert pii.labelers(df.limit(0)).count() == 0
