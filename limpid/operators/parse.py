@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Typed fields of a good line; digits beyond 38 do not fit a number and come out null.
 LINE_SCHEMA = "url string, username string, first_seen timestamp_ntz, source_id decimal(38,0), hits decimal(38,0)"
 FIELDS = ("url", "username", "first_seen", "source_id", "hits")
+#: A line with as many commas or more is not given to the reader; it cannot be one of five fields but inside quotes.
+READER_COLUMNS = 1024
 _FIELD = r'"(?:[^"]|"")*+"|[^",]*+'
 WELL_QUOTED = rf"(?s)^(?:{_FIELD})(?:,(?:{_FIELD}))*+\z"
 EACH_FIELD = rf'(?s),("(?:[^"]|"")*+"|[^",]*+)'
@@ -48,7 +50,9 @@ def valid_time(text: Column) -> Column:
 def classify(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     """The rows with ``record`` (typed struct) and ``reason_code`` (null for good lines)."""
     raw = F.col(raw_col)
-    read = F.from_csv(raw, F.lit(f"{LINE_SCHEMA}, corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+    # the reader stops the job at a line of more columns than it was told, so such a line goes to the second look at once
+    readable = F.when(F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit(""))) < READER_COLUMNS, raw)
+    read = F.from_csv(readable, F.lit(f"{LINE_SCHEMA}, corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(READER_COLUMNS), "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
     # exploding an array of one keeps filters above from being pushed into, and so repeating, what is exploded
     out = lines.withColumn("record", F.explode(F.array(read)))
     r = F.col("record")

@@ -9,6 +9,13 @@ from hypothesis import strategies as st
 from limpid.operators import parse
 
 
+#: Lines of very many fields, quotes or characters.
+LONG = [
+    "," * 100_000, '"' + "," * 100_000 + '"', '"a",' * 50_000, '"a",' * 50_000 + 'b"', '""' * 50_000, '"' + '""' * 50_000 + '"', "x" * 300_000, ",".join(["a"] * 1023), ",".join(["a"] * 1024), ",".join(["a"] * 30_000),
+    '"http://a.b/' + "," * 1500 + '",joe,2024-01-02T03:04:05,7,1', '"http://a.b/' + "," * 2100 + '",joe,2024-01-02T03:04:05,7,1', "a,b,c,d," + "e" * 200_000,
+]
+
+
 def judge(line):
     """Brute force, by a state machine."""
     if line is None:
@@ -90,3 +97,10 @@ def test_round_trip_and_types(spark):
     assert [(r.url, r.username) for r in got] == [r[:2] for r in rows]
     assert got[0].first_seen == datetime.datetime(2024, 1, 2, 3, 4, 5) and int(got[0].hits) == 2 and got[1].source_id is None
     assert parse.good_lines(df.limit(0), "raw_id").count() == 0
+
+
+def test_lines_of_any_number_of_columns(spark):
+    df = spark.createDataFrame(list(enumerate(LONG)), "id bigint, raw string")
+    want = {i: judge(x) for i, x in enumerate(LONG)}
+    assert {r.id: r.reason_code for r in parse.bad_lines(df, "id").collect()} == {i: r for i, r in want.items() if r} and want[0] == "columns" and want[10] is None
+    assert [r.url for r in parse.good_lines(df, "id").collect()] == ["http://a.b/" + "," * 1500]
