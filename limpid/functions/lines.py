@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ URL_PREFIXES = (
 BARE_SCHEMES = (
     "https://", "http://", "ftp://", "ftps://", "sftp://", "pop3://", "pop://", "smtp://", "imap://", "irc://", "ssh://", "telnet://",
 )
+#: Fixed: defaults of L6 and L5.
 SKIP_PREFIXES = ("#", "//", "--")
 MAX_LINE_BYTES = 4096
 
@@ -105,12 +108,26 @@ def reject_reason(line: Column, most: int = MAX_LINE_BYTES, prefixes: tuple[str,
     return F.when(line == "", "empty").when(bare_scheme(line), "bare_scheme").when(too_long(line, most), "too_long").when(skipped(line, prefixes), "prefix")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for an empty text. A signal for redaction."""
-    n = F.length(text).cast("double")
+    """Shannon entropy of the characters in bits; 0 for an empty text. A signal for redaction.
+
+    The characters are put in order and the lengths of their runs summed up in one pass, so that the cost is that of
+    sorting, however many different ones there are.
+    """
+    n = F.length(text)
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("last"), F.lit(0.0).alias("run"))
+
+    def term(run: Column) -> Column:
+        return F.when(run > 0, (run / n) * F.log2(run / n)).otherwise(0.0)
 
-    def term(total: Column, c: Column) -> Column:
-        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
-        return total + F.when(c == "", 0.0).otherwise(-p * F.log2(p))
+    def step(s: Column, c: Column) -> Column:
+        same = s["last"] == c
+        return F.struct(F.when(same, s["sum"]).otherwise(s["sum"] - term(s["run"])).alias("sum"), c.alias("last"), F.when(same, s["run"] + 1.0).otherwise(1.0).alias("run"))
 
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.aggregate(F.array_distinct(F.split(text, "", -1)), F.lit(0.0), term))
+    each = F.filter(F.array_sort(F.split(text, "")), lambda c: c != "")
+    return F.when(n == 0, 0.0).when(n > 0, F.aggregate(each, state, step, lambda s: s["sum"] - term(s["run"])))

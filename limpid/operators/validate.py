@@ -26,7 +26,7 @@ def split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def quarantine(rejected: DataFrame, raw_col: str, keep: list[str], key: str) -> DataFrame:
-    """Reason, where the line stood and its keyed hash; never the raw line (a bare hash of a short line can be guessed)."""
+    """Reason, where the line stood and its keyed hash (HMAC); never the raw line (a bare hash of a short line can be guessed)."""
     return rejected.select(F.col("reject_reason"), *keep, keyed_hash(F.col(raw_col), key).alias("line_hmac"))
 
 
@@ -36,7 +36,7 @@ def hygiene_lines(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return each.select(*keep, (F.col("pos") + 1).alias("line_no"), lines.trim(F.col("raw")).alias("line")).withColumn("reject_reason", lines.reject_reason(F.col("line")))
 
 
-def run_statistics(judged: DataFrame, bytes_col: str) -> DataFrame:
+def run_statistics(judged: DataFrame, bytes_col: str | None = None, n_bytes: Column | None = None) -> DataFrame:
     """One row of counters, by an aggregate (an accumulator would count retried tasks twice). Empty lines are no rejections."""
     reason = F.col("reject_reason")
     return judged.agg(
@@ -44,7 +44,7 @@ def run_statistics(judged: DataFrame, bytes_col: str) -> DataFrame:
         F.count_if(reason.isNull()).alias("n_kept"),
         F.count_if(reason == "empty").alias("n_empty"),
         F.count_if(reason.isNotNull() & (reason != "empty")).alias("n_rejected"),
-        F.coalesce(F.sum(F.octet_length(bytes_col).cast("bigint")), F.lit(0)).alias("n_bytes"),
+        F.coalesce(F.sum((F.octet_length(bytes_col) if n_bytes is None else n_bytes).cast("bigint")), F.lit(0)).alias("n_bytes"),
     )
 
 

@@ -29,6 +29,11 @@ def p5_hosts(spark: SparkSession, d: str) -> DataFrame:
     return _host_profile(spark, d).select(F.col("key").alias("host"), "n_rows", F.col("n_distinct").alias("n_usernames"))
 
 
+def p5_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Per host the most frequent account name and how often it occurs."""
+    return _host_profile(spark, d).select(F.col("key").alias("host"), F.col("mode").alias("username"), F.col("mode_rows").alias("n_rows"))
+
+
 def p5_name_length(spark: SparkSession, d: str) -> DataFrame:
     """Per host the exact median and 90th percentile of the length of account names."""
     rows = table(spark, d, "ulp_records").where(urls.present(F.col("url")) & urls.authority_host(F.col("url")).isNotNull())
@@ -60,6 +65,10 @@ _QUOTED = r'"(?:[^"]|"")*"|[^",]*'
 SQL: dict[str, str] = {
     "p5_found": _HOSTS + " select host from r where host is not null group by host having count(*) >= 0.01 * (select count(*) from r)",
     "p5_hosts": _HOSTS + " select host, count(*) as n_rows, count(distinct username) as n_usernames from r where host is not null group by host",
+    "p5_modes": _HOSTS
+    + """, c as (select host, username, count(*) as n from r where host is not null group by host, username),
+        m as (select host, username, case when username is null then 0 else n end as n from c)
+        select host, username, n as n_rows from m qualify row_number() over (partition by host order by username is null, n desc, username) = 1""",
     "p5_name_length": _HOSTS
     + """, l as (select host, length(username) as n from r where host is not null and username is not null)
         select host, 0.5::double as p, quantile_disc(n, 0.5)::int as n_chars from l group by host

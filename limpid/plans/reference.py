@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions import encoding, lines, text, urls
 from limpid.operators import dedup, parse, validate
+from limpid.plans import queries as core
 from limpid.session import prepare, table
 from limpid.sources import files
 from limpid.sources.config import Config
@@ -38,6 +39,12 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return validate.hygiene_lines(table(s, d, "documents"), "text", ["doc_id"])
 
 
+def _hmac(sql: str) -> str:
+    """HMAC-SHA256 of a text under KEY."""
+    outer, inner = ("".join(f"\\x{x ^ pad:02X}" for x in KEY.encode().ljust(64, b"\0")) for pad in (0x5C, 0x36))
+    return f"sha256('{outer}'::blob || unhex(sha256('{inner}'::blob || encode({sql}))))"
+
+
 class _T(str):
     """SQL with a place for an expression; the braces of regular expressions stay."""
 
@@ -87,11 +94,11 @@ query(
 )(lambda s, d: table(s, d, "source_files").select("source_id", encoding.resolved(F.col("encoding")).alias("result")))
 
 
-@query("S4_detected")
+@query("S4_detected", r"select doc_id, case when doc_id % 2 = 1 and regexp_matches(text, '[^\x00-\x7f]') and not regexp_matches(text, '[^\x00-\x{ff}]') then 'windows-1252' when text is not null then 'utf-8' end as encoding, false as had_bom from documents")
 def _detected(s: SparkSession, d: str) -> DataFrame:
     latin = (F.pmod("doc_id", F.lit(2)) == 1) & ~F.col("text").rlike(r"[^\x00-\x{FF}]")
     content = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    return table(s, d, "documents").select("doc_id", encoding.detected(content).alias("d")).select("doc_id", "d.*")
+    return table(s, d, "documents").select("doc_id", encoding.detected(content).alias("d")).select("doc_id", "d.encoding", "d.had_bom")
 
 
 query("S5_lossy", "select doc_id, text || chr(65533) || 'x' as result from documents")(
@@ -115,13 +122,13 @@ query(
 _JUDGED = _LINES + f", j as (select *, {_REASON} as reject_reason from l) "
 
 
-@query("S9_quarantine", _JUDGED + f"select reject_reason, doc_id, line_no, sha256('{KEY}/outer/' || sha256('{KEY}/inner/' || line)) as line_hmac from j where reject_reason <> 'empty'")
+@query("S9_quarantine", _JUDGED + f"select reject_reason, doc_id, line_no, {_hmac('line')} as line_hmac from j where reject_reason <> 'empty'")
 def _quarantine(s: SparkSession, d: str) -> DataFrame:
     _, bad = validate.split(_lines(s, d), F.col("reject_reason"))
     return validate.quarantine(bad.where("reject_reason <> 'empty'"), "line", ["doc_id", "line_no"], KEY)
 
 
-@query("S9_bad_lines")
+@query("S9_bad_lines", f"select reason_code as reject_reason, file_path, line_no, {_hmac('raw')} as line_hmac from ulp_raw join ({core.SQL['p6_found']}) using (raw_id)")
 def _bad_lines(s: SparkSession, d: str) -> DataFrame:
     judged = parse.classify(table(s, d, "ulp_raw")).where("reason_code is not null").withColumnRenamed("reason_code", "reject_reason")
     return validate.quarantine(judged, "raw", ["file_path", "line_no"], KEY)
@@ -160,11 +167,14 @@ _each("L15_line_scheme", "ulp_records", "record_id", "url", lambda c: urls.line_
 
 # ---------------------------------------------------------------- 2.3 parsing and extraction
 
-_FIND = text.url_pattern().replace("'", "''")
 query("P1_patterns")(lambda s, d: s.createDataFrame([("url", text.url_pattern()), ("email", text.email_pattern())], "name string, pattern string"))
-#: RE2 repeats at most 1000 times.
-_LONG = "{1,1000}" + "".join(rf"[^\s@,|{{}}\\]{{0,{n}}}" for n in (1000, 48))
-query("P2_first_url", f"select raw_id, regexp_extract(raw, '{_FIND}', 0) as url from ulp_raw where regexp_matches(raw, '{_FIND}')".replace("{1,2048}", _LONG))(
+#: RE2 looks neither ahead nor repeats more than 1000 times: a port counts with what follows it, which is not taken along.
+_IN_URL = r"[^\s@,|{}\\:/?#]+"
+_ON_URL = r"[^\s@,|{}\\:]"
+_START = "(?i)(?:" + "|".join(text.FIND_SCHEMES) + ")://" + _IN_URL
+_PATH = "[/?#]" + f"{_ON_URL}{{0,1000}}" * 2 + f"{_ON_URL}{{0,48}}"
+_FIND = (f"({_START}(?::[0-9]{{1,5}})?{_PATH})|({_START}:[0-9]{{1,5}})(?:[\\s\"'<>,|;)\\]]|$)|({_START})").replace("'", "''")
+query("P2_first_url", f"with u as (select raw_id, coalesce(nullif(regexp_extract(raw, '{_FIND}', 1), ''), nullif(regexp_extract(raw, '{_FIND}', 2), ''), nullif(regexp_extract(raw, '{_FIND}', 3), '')) as url from ulp_raw) select * from u where url is not null")(
     lambda s, d: table(s, d, "ulp_raw").select("raw_id", text.first_url(F.col("raw")).alias("url")).where("url is not null")
 )
 query(
@@ -177,17 +187,21 @@ query(
 )(lambda s, d: table(s, d, "ulp_records").select("record_id", F.round(lines.entropy(F.col("username")), 6).alias("result")))
 query("P4_email", _LINES + rf"select doc_id, line_no from l where regexp_matches(line, '{text.EMAIL}')")(lambda s, d: _lines(s, d).where(text.has_email(F.col("line"))).select("doc_id", "line_no"))
 _RED = "text"
-for _, _pattern, _marker in text.REDACTIONS:
+for _, _pattern, _marker, _ in text.REDACTIONS:
     _RED = f"regexp_replace({_RED}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{_marker.replace('$', chr(92))}', 'g')"
-query("R1_redacted", f"select doc_id, {_RED} as redacted from documents")(lambda s, d: table(s, d, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted")))
-query(
-    "R2_redactions",
-    f"with r as (select {_RED} as t from documents) select "
-    + ", ".join(rf"sum(len(regexp_extract_all(t, '\[{k}\]')))::bigint as n_{k.lower()}" for k, _, _ in text.REDACTIONS)
-    + " from r",
-)(
-    lambda s, d: table(s, d, "documents").select(text.redact(F.col("text")).alias("t")).select(*[c.alias(k) for k, c in text.redaction_counts(F.col("t")).items()]).agg(*[F.sum(k.lower()).alias(f"n_{k.lower()}") for k, _, _ in text.REDACTIONS])
+_BITS = "list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: -((length(x) - length(replace(x, c, '')))::double / length(x)) * log2((length(x) - length(replace(x, c, '')))::double / length(x))))"
+_TOKENS = f"list_filter(list_distinct(regexp_extract_all(t, '{text.TOKEN}')), lambda x: regexp_matches(x, '[A-Z]') and regexp_matches(x, '[a-z]') and regexp_matches(x, '[0-9]') and not regexp_matches(x, '{text._WORDY}') and {_BITS} >= {text.TOKEN_BITS})"
+_REDACTED = f"""
+with r as (select doc_id, {_RED} as t from documents), k as (select doc_id, t, list_reverse(list_sort(list_transform({_TOKENS}, lambda x: {{'n': length(x), 't': x}}))) as tokens from r),
+e as (select doc_id, list_reduce(list_prepend(t, list_transform(tokens, lambda x: x.t)), lambda a, x: replace(a, x, '[TOKEN]')) as t from k) """
+query("R1_redacted", _REDACTED + "select doc_id, t as redacted from e")(lambda s, d: table(s, d, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted")))
+query("R2_redactions", _REDACTED + "select " + ", ".join(rf"sum(len(regexp_extract_all(t, '\[{k}\]')))::bigint as n_{k.lower()}" for k in text.KINDS) + " from e")(
+    # exploding an array of one keeps the redaction from being repeated by each count
+    lambda s, d: table(s, d, "documents").select(F.explode(F.array(text.redact(F.col("text")))).alias("t")).select(*[c.alias(k) for k, c in text.redaction_counts(F.col("t")).items()]).agg(*[F.sum(k.lower()).alias(f"n_{k.lower()}") for k in text.KINDS])
 )
+#: RE2 has no other need than Java here, so both take the same patterns; what they are to find is in tests/test_lines.py.
+_JOINED = " or ".join(f"regexp_matches(raw, '{p}')" for p in text.CREDENTIALS)
+query("R3_credential_lines", f"select raw_id from ulp_raw where {_JOINED}")(lambda s, d: table(s, d, "ulp_raw").where(text.credential_line(F.col("raw"))).select("raw_id"))
 
 # ---------------------------------------------------------------- 2.4 URL, host and e-mail
 
@@ -211,7 +225,7 @@ query(
     rf"""
     with m as (select record_id, {_MAIL} as j from ulp_records where contains(username, '@')),
     c as (select record_id, left(j, strpos(j, '@')) || lower(regexp_replace(substring(j, strpos(j, '@') + 1), '{_W}*\.{_W}*', '.', 'g')) as e from m)
-    select record_id, substring(e, strpos(e, '@') + 1) as domain, sha256('{KEY}/outer/' || sha256('{KEY}/inner/' || e)) as address_hmac from c""",
+    select record_id, substring(e, strpos(e, '@') + 1) as domain, {_hmac('e')} as address_hmac from c""",
 )(
     lambda s, d: table(s, d, "ulp_records").where(F.col("username").contains("@")).select("record_id", urls.email_domain(F.col("username")).alias("domain"), text.keyed_hash(urls.clean_email(F.col("username")), KEY).alias("address_hmac"))
 )
@@ -280,7 +294,7 @@ def _stream_dedup(s: SparkSession, d: str) -> DataFrame:
     return hygiene.drain(hygiene.dedup(rows, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"), "events")
 
 
-@query("T3_stream_windows")
+@query("T3_stream_windows", "select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events where ts is not null group by 1, 2")
 def _stream_windows(s: SparkSession, d: str) -> DataFrame:
     rows = hygiene.read(s, f"{d}/events.parquet", table(s, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    return hygiene.drain_last(hygiene.windowed_counts(rows, "ts", "1 hour", "1 day", "event_type"), "windows", ["window_start", "event_type"])
+    return hygiene.drain_last(hygiene.windowed_counts(rows, "ts", "1 hour", "1 day", "event_type"), "windows", ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

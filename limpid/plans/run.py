@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import os
+import threading
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from limpid.functions import lines, text, urls
 from limpid.operators import dedup, validate
 from limpid.sources import files
 from limpid.sources.config import Config
-from limpid.session import prepare
+from limpid.session import prepare, written
 
 log = logging.getLogger("limpid")
 
@@ -34,7 +36,8 @@ def judged_lines(raw: DataFrame, config: Config) -> DataFrame:
     pattern = text.url_pattern(schemes, u.url_pattern, None)
     out = raw.withColumn("clean_line", lines.drop_controls(line)).withColumn("found", text.first_url(F.col("clean_line"), pattern))
     refused = F.when(F.col("found").isNotNull(), F.concat(F.lit("url_"), validate.url_reason(F.col("found"), u.max_bytes, u.reject_unknown_schemes)))
-    return out.withColumn("reject_reason", F.coalesce(lines.reject_reason(lines.trim(F.col("line")), config.lines.max_line_bytes, config.lines.skip_prefixes), refused))
+    joined = F.when(text.credential_line(F.col("clean_line")), "credential")
+    return out.withColumn("reject_reason", F.coalesce(lines.reject_reason(lines.trim(F.col("line")), config.lines.max_line_bytes, config.lines.skip_prefixes), joined, refused))
 
 
 def clean_url(url: Column, config: Config) -> Column:
@@ -51,38 +54,78 @@ def clean_url(url: Column, config: Config) -> Column:
     return urls.strip_path(url) if u.strip_paths else url
 
 
-def plan(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(clean lines, quarantine) of (path, line_no, line); redaction comes before either.
+def safe_rows(raw: DataFrame, config: Config) -> DataFrame:
+    """Every line judged once, with nothing in it that may not be written.
 
-    Clean lines hold their first URL cleaned; of lines that are then equal the first by path and number is kept.
+    path, line_no, n_bytes and reject_reason; of kept lines the redacted line and URL and a keyed hash of the line
+    before redaction, which makes different lines equal; of rejected ones their keyed hash alone.
     """
+    key = config.output.quarantine_key
+    if not key:
+        raise ValueError("set output.quarantine_key: without a key of one's own the hashes of short lines can be guessed")
     judged = judged_lines(raw, config)
-    kept = judged.where("reject_reason is null").withColumn("url", clean_url(F.col("found"), config))
+    keep = F.col("reject_reason").isNull()
     at = F.instr("clean_line", F.col("found"))
     after = F.substring("clean_line", at + F.length("found"), F.length("clean_line"))
-    whole = F.when(F.col("found").isNull(), F.col("clean_line")).otherwise(F.concat(F.substring("clean_line", F.lit(1), at - 1), F.col("url"), after))
+    url = clean_url(F.col("found"), config)
+    whole = F.when(F.col("found").isNull(), F.col("clean_line")).otherwise(F.concat(F.substring("clean_line", F.lit(1), at - 1), url, after))
     email = text.email_pattern(config.urls.email_pattern)
     email = None if email == text.EMAIL else email
-    # the key is of the line before redaction, which makes different lines equal
-    rows = kept.withColumn("whole", whole).select("path", "line_no", text.redact(F.col("whole"), email).alias("line"), text.redact(F.col("url"), email).alias("url"), F.sha2("whole", 256).alias("key"))
-    clean = dedup.keep_first(rows, F.col("key"), ["path", "line_no"]).drop("key")
-    bad = judged.where("reject_reason is not null and reject_reason <> 'empty'")
-    return clean, validate.quarantine(bad, "line", ["path", "line_no"], config.output.quarantine_key)
+    line = text.redact(F.col("whole"), email)
+    rows = judged.withColumns({"whole": F.when(keep, whole), "found": F.when(keep, url)})
+    return rows.select(
+        "path", "line_no", "reject_reason", F.octet_length("line").alias("n_bytes"), (lines.guard_cell(line) if config.lines.guard_cells else line).alias("line"),
+        text.redact(F.col("found"), email).alias("url"), text.keyed_hash(F.col("whole"), key).alias("key"), F.when(~keep, text.keyed_hash(F.col("line"), key)).alias("line_hmac"),
+    )
+
+
+def plan(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean lines, quarantine, statistics) of (path, line_no, line); all three are read from one written table.
+
+    Clean lines hold their first URL cleaned; of lines that are then equal the first by path and number is kept.
+    """
+    rows = written(safe_rows(raw, config), "judged")
+    clean = dedup.keep_first(rows.where("reject_reason is null").select("path", "line_no", "line", "url", "key"), F.col("key"), ["path", "line_no"]).drop("key")
+    bad = rows.where("reject_reason is not null and reject_reason <> 'empty'").select("reject_reason", "path", "line_no", "line_hmac")
+    return clean, bad, validate.run_statistics(rows, n_bytes=F.col("n_bytes"))
+
+
+@contextmanager
+def _told(spark: SparkSession, tell: Callable[[dict], None] | None, seconds: float = 0.5):
+    """While inside, progress() is told every so many seconds."""
+    if tell is None:
+        yield
+        return
+    ended = threading.Event()
+
+    def watch() -> None:
+        while not ended.wait(seconds):
+            progress(spark, tell)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        thread.join()
 
 
-def run(spark: SparkSession, source: str, target: str, config: Config | None = None, tag: str = "limpid-run") -> dict:
-    """Reads source, writes target/clean, target/quarantine and target/stats; returns the statistics."""
+def run(spark: SparkSession, source: str, target: str, config: Config | None = None, tag: str = "limpid-run", tell: Callable[[dict], None] | None = None) -> dict:
+    """Reads source once, writes target/clean, target/quarantine (by reason) and target/stats; returns the statistics.
+
+    tell is called with the tasks done of each active stage, every half second (C3).
+    """
     config = config or Config()
     prepare(spark).addTag(tag)
     began = time.time()
     try:
-        with files.splitting(spark, source):
+        with files.splitting(spark, source), _told(spark, tell):
             raw = files.read(spark, source, config.encoding.mode, config.encoding.sample_bytes, config.encoding.fallback_encoding)
-            clean, bad = plan(raw, config)
+            clean, bad, stats = plan(raw, config)
             clean.write.mode("overwrite").parquet(f"{target}/clean")
-            bad.write.mode("overwrite").parquet(f"{target}/quarantine")
+            files.write_quarantine(bad, f"{target}/quarantine", "overwrite")
             n = spark.read.parquet(f"{target}/clean").count()
-            stats = validate.run_statistics(judged_lines(raw, config), "line")
             stats = stats.withColumns({"n_kept": F.lit(n).cast("bigint"), "n_duplicates": F.col("n_kept") - n})
             if config.output.export_stats:
                 files.write_statistics(stats, f"{target}/stats")

@@ -20,6 +20,7 @@ class Lines:
     max_line_bytes: int = 4096
     unquote: bool = True
     unicode_normalize: bool = True
+    guard_cells: bool = False
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,8 @@ class Urls:
 
 @dataclass(frozen=True)
 class Output:
-    quarantine_key: str = "set-me"
+    #: Of the hashes in the quarantine; a run demands one, since a known key makes short lines guessable.
+    quarantine_key: str | None = None
     export_stats: bool = True
 
 

@@ -132,9 +132,9 @@ def split_size(size: int, cores: int) -> int:
     return min(256 * MB, max(4 * MB, size // max(cores * 64, 32)))
 
 
-def write_quarantine(df: DataFrame, path: str) -> None:
-    """Parquet by reason."""
-    df.write.mode("append").partitionBy("reject_reason").parquet(path)
+def write_quarantine(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Parquet, with its schema also where nothing is quarantined."""
+    df.write.mode(mode).parquet(path)
 
 
 def write_statistics(df: DataFrame, path: str) -> None:

@@ -77,6 +77,41 @@ def test_redaction_kinds(spark):
 
 def test_patterns(spark):
     assert apply(spark, text.first_url, ["see http://a.b/c d", "none", None]) == ["http://a.b/c", None, None]
+    joined = ["https://a.example/login:joe:pw", "https://a.example:joe@b.example:pw", "https://a.example:8443/x:joe", "x https://a.example:443:joe:pw", "http://a.example:99999999", "http://a.example:80", "http://a.example:80, b", "http://a.example?q#f"]
+    want = ["https://a.example/login", "https://a.example", "https://a.example:8443/x", "https://a.example", "http://a.example", "http://a.example:80", "http://a.example:80", "http://a.example?q#f"]
+    assert apply(spark, text.first_url, joined) == want
     assert apply(spark, lambda c: text.first_url(c, "x+"), ["axxb"]) == ["xx"]
     assert apply(spark, text.has_email, ["a@b.cd", "a@b"]) == [True, False]
     assert apply(spark, text.nfc, ["é", "plain", "é", "하", None]) == ["é", "plain", "é", "하", None]
+
+
+def test_lines_that_are_no_credentials(spark):
+    rows = [
+        "see https://en.example/wiki/Main_Page for more", "https://a.example/x?y=1", "http://a.example:8080/x", "at 10:20:30 the job ended", "src/main.c:10:5: error", "a.b@c.example", "key: value", "http://a.example is down now",
+        "git remote add up git@forge.example:a/b.git", "", None, "Note: see https://a.example/x", "x" * 50_000, "a:b", "commit 3f2a9c", "From: Ann Lee <a.lee@c.example>",
+    ]
+    assert apply(spark, text.credential_line, rows) == [None if r is None else False for r in rows]
+
+
+def test_random_tokens(spark):
+    rows = ["id aB3xY7pQ2wE5rT8uI0oL6kJ4 end", "3f2a9c1b3f2a9c1b3f2a9c1b3f2a9c1b3f2a9c1b", "src/Module1/handlers/AccountHandler", "ThisIsALongIdentifierWithWords2", "a" * 40, "", None]
+    got = apply(spark, text.redact, rows)
+    assert got[0] == "id [TOKEN] end" and got[1:3] == rows[1:3] and got[4:] == rows[4:]
+
+
+def test_keyed_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "x" * 64, "long" * 40):
+        got = apply(spark, lambda c: text.keyed_hash(c, key), ["", "aé", None])
+        assert got == [*(hmac.new(key.encode(), t.encode(), hashlib.sha256).hexdigest() for t in ("", "aé")), None]
+
+
+def test_entropy_against_brute_force(spark):
+    import collections
+    import math
+
+    rows = ["", "a", "aab", "abcd", "aaaa", "ééx🔑🔑", "the quick brown fox " * 500]
+    want = [sum(-n / len(t) * math.log2(n / len(t)) for n in collections.Counter(t).values()) for t in rows]
+    assert all(abs(g - w) < 1e-9 for g, w in zip(apply(spark, lines.entropy, rows), want, strict=True)) and apply(spark, lines.entropy, [None]) == [None]

@@ -1,3 +1,5 @@
+import os
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,37 @@ def test_detection_takes_the_whole_content(spark, tmp_path):
     assert last == "été"
 
 
+KEYED = config.Config(output=config.Output(quarantine_key="k"))
+
+
+def test_no_sink_holds_a_secret(spark, tmp_path):
+    """Records of a site, an account and a secret in every layout, and secrets in prose: in no file of a run, intermediate ones included."""
+    from limpid import session
+
+    m = "Zq7MARKERzz99"
+    rows = [
+        f"https://site.example/login:joe:{m}", f"https://site.example:joe@mail.example:{m}", f"https://site.example:8443/a:joe:{m}", f"site.example:joe:{m}", f"www.site.example/x|joe|{m}", f"joe:{m}:https://site.example/",
+        f"joe@mail.example:{m}", f"joe@mail.example {m}", f"https://site.example,joe,{m}", f"https://site.example\tjoe\t{m}", f"https://site.example joe {m}", f"joe;{m};https://site.example", f"android://x@com.app/:joe:{m}",
+        f"see https://site.example/a:joe:{m} and more", f"# password: {m}", f"wrote to joe@mail.example:{m} today", f"api_key = {m}", f"https://joe:{m}@site.example/", f"token k9{m}aB3xY7pQ2wE5 was used", "plain text stays",
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(rows))
+    session.clean_up(spark)
+    stats = run.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", KEYED)
+    shared = re.sub("^file:/*", "/", session.shared_dir(spark))
+    places = [f"{tmp_path}/out", *[f"{shared}/{x}" for x in os.listdir(shared)]]
+    assert len(places) > 1 and stats["n_lines"] == len(rows)
+    for place in places:
+        for root, _, names in os.walk(place):
+            for name in names:
+                assert m.encode() not in open(f"{root}/{name}", "rb").read(), (root, name)
+    for kind in ("clean", "quarantine"):
+        assert not any(m in str(r) for r in spark.read.parquet(f"{tmp_path}/out/{kind}").collect())
+    clean = {r.line for r in spark.read.parquet(f"{tmp_path}/out/clean").collect()}
+    assert "plain text stays" in clean and "token [TOKEN] was used" in clean and "wrote to [EMAIL]:[JOINED] today" in clean
+    assert spark.read.parquet(f"{tmp_path}/out/quarantine").where("reject_reason = 'credential'").count() >= 13
+
+
 def test_lossy(spark):
     df = spark.createDataFrame([(bytearray(b"a\xffb"), "utf-8"), (bytearray(b"\xe9"), "windows-1252"), (None, "utf-8")], "c binary, e string")
     got = df.select(encoding.decode_utf8(F.col("c")).alias("u"), encoding.decode_lossy(F.col("c"), F.col("e")).alias("d")).collect()
@@ -85,7 +118,11 @@ def test_config(tmp_path):
 
 
 def test_run(spark, folder):
-    stats = run.run(spark, f"{folder}/in", f"{folder}/out")
+    with pytest.raises(ValueError, match="quarantine_key"):
+        run.run(spark, f"{folder}/in", f"{folder}/out")
+    told = []
+    stats = run.run(spark, f"{folder}/in", f"{folder}/out", KEYED, tell=told.append)
+    assert all(x["done"] <= x["of"] for x in told)
     assert (stats["n_kept"], stats["n_rejected"]) == (5, 1)
     clean = {r.line for r in spark.read.parquet(f"{folder}/out/clean").collect()}
     assert clean == {"eins", "zwei é", "drei", "vier é", "fünf"}
@@ -110,7 +147,7 @@ def test_run_takes_urls_through_all_stages(spark, tmp_path):
     )
 
     def result(name, toml=""):
-        (tmp_path / f"{name}.toml").write_text(toml)
+        (tmp_path / f"{name}.toml").write_text('[output]\nquarantine_key = "k"\n' + toml)
         stats = run.run(spark, f"{tmp_path}/in", f"{tmp_path}/{name}", config.load(tmp_path / f"{name}.toml"))
         clean = sorted((r.line_no, r.line, r.url) for r in spark.read.parquet(f"{tmp_path}/{name}/clean").collect())
         bad = sorted((r.line_no, r.reject_reason) for r in spark.read.parquet(f"{tmp_path}/{name}/quarantine").collect())
@@ -141,5 +178,5 @@ def test_large_files_are_split(spark, tmp_path):
         tasks = got.where(F.col("path").endswith("c.log")).select(F.spark_partition_id()).distinct().count()
     assert rows == want and tasks > 1
     assert [files._by_lines(x) for x in ("utf8", "cp1252", "koi8-r", "utf-16le", "gbk", "cp037")] == [True, True, True, False, False, False]
-    run.run(spark, str(tmp_path), f"{tmp_path}/out")
+    run.run(spark, str(tmp_path), f"{tmp_path}/out", KEYED)
     assert spark.read.parquet(f"{tmp_path}/out/clean").where("line = 'lasté€'").count() == 1
