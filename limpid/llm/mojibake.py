@@ -233,7 +233,10 @@ def _c1(error: UnicodeError) -> tuple[bytes, int]:
 
 
 codecs.register_error("limpid_c1", _c1)
-_RUN = re.compile(r"[^\x00-\x7f]+")
+_RUN, _TWO, _FOUR = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[^\x00-\x7f]{2}"), re.compile(r"[^\x00-\x7f]{4}")
+
+
+_ASCII = frozenset(map(chr, range(128)))
 
 
 def _strict(text: str, read_as: str) -> str | None:
@@ -254,7 +257,10 @@ def _strict(text: str, read_as: str) -> str | None:
 
 
 def _strict_multi(text: str, written_as: str) -> str | None:
-    """All runs re-encoded as cp1252 and strictly decoded as an encoding of several bytes; two characters of it at least."""
+    """All runs re-encoded as cp1252 and strictly decoded as an encoding of several bytes; two characters of it at least.
+
+    Called for texts with four characters outside ASCII in a row.
+    """
 
     def one(run: re.Match) -> str:
         return run[0].encode("cp1252", "limpid_c1").decode(written_as)
@@ -267,20 +273,25 @@ def _strict_multi(text: str, written_as: str) -> str | None:
     return fixed if fixed != text and len(kinds) > 1 and set(kinds) <= set("HKO") else None
 
 
-def _as_pair(text: str, read_as: str, written_as: str) -> str | None:
+@functools.cache
+def _pair_chars(read_as: str, written_as: str) -> tuple[frozenset[str], frozenset[str]]:
+    """(characters that convert, characters that may not be part of such text)."""
+    table = _pair_table(read_as, written_as)
+    return frozenset(chr(o) for o, new in table.items() if new != "\0"), frozenset(chr(o) for o, new in table.items() if new == "\0")
+
+
+def _as_pair(text: str, chars: set[str], read_as: str, written_as: str) -> str | None:
     """All letters and symbols of text under one pair of encodings; spaces and quotes that do not convert are passed on.
 
-    Latin letters become another alphabet only if there are four or more: three in a row also occur in Latin words.
+    chars are its characters outside ASCII. Latin letters become another alphabet only if there are four or more: three
+    in a row also occur in Latin words.
     """
-    known = _pair_table(read_as, written_as)
-    if written_as != "cp1252" and read_as == "cp1252" and sum(c > "\x7f" for c in text) < 4:
-        return None
-    fixed = text.translate(known)
-    if fixed == text or "\0" in fixed:
+    good, bad = _pair_chars(read_as, written_as)
+    if not chars & good or chars & bad or any(_kind(c)[0] not in "FE" for c in chars - good):
         return None
-    if any(c > "\x7f" and ord(c) not in known and _kind(c)[0] not in "FE" for c in text):
+    if written_as != "cp1252" and read_as == "cp1252" and sum(c > "\x7f" for c in text) < 4:
         return None
-    return fixed
+    return text.translate(_pair_table(read_as, written_as))
 
 
 def _layer(text: str) -> list[tuple[str, float]]:
@@ -288,8 +299,9 @@ def _layer(text: str) -> list[tuple[str, float]]:
     found = {}
     if any("⺀" <= c < "ﬀ" for c in text):
         found[_strict(text, "gb18030")] = GBK_MARGIN
-    for encoding in READ_AS:
-        found[_strict(text, encoding)] = UTF8_MARGIN
+    if _TWO.search(text):  # a sequence has two bytes at least
+        for encoding in READ_AS:
+            found[_strict(text, encoding)] = UTF8_MARGIN
     found.pop(None, None)
     return [*found.items()]
 
@@ -314,12 +326,13 @@ def _round_trips(text: str) -> tuple[str, float, bool] | None:
                     known.add(fixed)
                     own = max(own, margin)
                     further.append((consider(fixed, own, True), fixed, own))
+            chars = set(state) - _ASCII
             for read_as, written_as in LEGACY_PAIRS:
-                fixed = _as_pair(state, read_as, written_as)
-                if fixed is not None and fixed not in known:
+                fixed = _as_pair(state, chars, read_as, written_as)
+                if fixed is not None and fixed not in known and fixed != state:
                     # a Cyrillic word stays one under another Cyrillic encoding, only its letters get rarer
                     consider(fixed, margin + PAIR_MARGIN + (0.3 if read_as != "cp1252" and written_as in ("cp1251", "koi8_r") else 0.0), False)
-            for written_as in MULTI_BYTE:
+            for written_as in MULTI_BYTE if _FOUR.search(state) else ():
                 fixed = _strict_multi(state, written_as)
                 if fixed is not None and fixed not in known:
                     consider(fixed, margin + PAIR_MARGIN, False)
