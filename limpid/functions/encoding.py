@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from limpid.functions import charset
+
 SAMPLE_BYTES = 8192
 FALLBACK = "utf-8"
 
@@ -41,9 +43,9 @@ def resolved(label: Column) -> Column:
 
 
 def detect_bytes(content: bytes | None, label: str = "auto", sample: int = SAMPLE_BYTES, fallback: str = FALLBACK) -> tuple[str | None, bool, bool]:
-    """(encoding, had_bom, confident). BOM, then a forced label, then strict UTF-8, then Windows-1252, then the fallback.
+    """(encoding, had_bom, confident). BOM, then a forced label, then UTF-8, then what the bytes look like, then the fallback.
 
-    UTF-8 is judged on the whole content; only the choice between legacy charsets is by a sample, from the first byte beyond ASCII on.
+    Whether a charset fits is judged on the whole content; which of those that fit is likeliest by a sample, from the first byte beyond ASCII on.
     """
     if content is None:
         return None, False, False
@@ -52,30 +54,28 @@ def detect_bytes(content: bytes | None, label: str = "auto", sample: int = SAMPL
             return name, True, True
     if label != "auto":
         return resolve_label(label), False, True
-    try:
-        content.decode("utf-8")
+    if charset.plain(content):
         return "utf-8", False, True
-    except UnicodeDecodeError:
-        pass
-    first = next(i for i, b in enumerate(content) if b > 127)
-    try:
-        content[first : first + sample].decode("cp1252")
-        return "windows-1252", False, True
-    except UnicodeDecodeError:
-        return fallback, False, False
+    name, sure = charset.guess(content, sample)
+    return (name, False, sure) if name else (fallback, False, False)
 
 
 def detected(content: Column, label: str = "auto", sample: int = SAMPLE_BYTES, fallback: str = FALLBACK) -> Column:
-    """S4 as struct<encoding, had_bom, confident>: the same as detect_bytes, as an expression."""
+    """S4 as struct<encoding, had_bom, confident>: the same as detect_bytes. What is plain UTF-8 or bears a mark stays in the JVM."""
     mark = bom(content)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            found = [detect_bytes(None if v is None else bytes(v), "auto", sample, fallback) for v in values]
+            yield pd.DataFrame({"encoding": [f[0] for f in found], "confident": [f[2] for f in found]})
+
     if label != "auto":
         name, sure = F.lit(resolve_label(label)), F.lit(True)
     else:
-        utf8 = F.is_valid_utf8(content.cast("string"))
-        each = F.decode(content, "ISO-8859-1")  # a character per byte
-        legacy = F.substring(each, F.regexp_instr(each, F.lit(r"[^\x00-\x7F]")), F.lit(sample))
-        cp1252 = ~legacy.rlike(r"[\x81\x8D\x8F\x90\x9D]")
-        name, sure = F.when(utf8, "utf-8").when(cp1252, "windows-1252").otherwise(fallback), utf8 | cp1252
+        text = content.cast("string")
+        plain = F.is_valid_utf8(text) & ~text.rlike(r"[\x00-\x08\x0E-\x1A]")
+        other = F.pandas_udf(run, "encoding string, confident boolean")(F.when(~plain & mark.isNull(), content))
+        name, sure = F.when(plain, "utf-8").otherwise(other["encoding"]), plain | other["confident"]
     name, sure = F.when(content.isNotNull(), F.coalesce(mark, name)), mark.isNotNull() | F.coalesce(sure & content.isNotNull(), F.lit(False))
     return F.struct(name.alias("encoding"), mark.isNotNull().alias("had_bom"), sure.alias("confident"))
 

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from limpid.functions import charset
 from limpid.functions import encoding as enc
 
 EXTENSIONS = ("txt", "csv", "log", "dat")
@@ -64,16 +65,22 @@ def splitting(spark: SparkSession, path: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _mark(spark: SparkSession, path: str) -> str | None:
-    """S2 of a file by its first three bytes."""
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
     try:
-        head = bytes(b for b in (stream.read() for _ in range(3)) if b >= 0)
+        return bytes(stream.readNBytes(n))
     finally:
         stream.close()
-    name, had_bom, _ = enc.detect_bytes(head)
-    return name if had_bom else None
+
+
+def _mark(head: bytes) -> str | None:
+    """S2 of a file by its first bytes; UTF-16 also where these show it without a mark."""
+    name, had_bom, _ = enc.detect_bytes(head[:3])
+    if had_bom:
+        return name
+    return name if not charset.plain(head) and (name := charset.guess(head[: len(head) // 2 * 2], len(head))[0] or "").startswith("utf-16") else None
 
 
 def _by_lines(label: str) -> bool:
@@ -90,7 +97,7 @@ def read(spark: SparkSession, path: str, label: str = "auto", sample: int = enc.
     """
     small = read_decoded(spark, path, label, sample, fallback, F.col("_metadata.file_size") <= whole)
     large = _reader(spark, path, "binaryFile").where(F.col("_metadata.file_size") > whole).select("path", F.col("_metadata.file_path").alias("file")).collect()
-    marks = {r.file: (r.path, _mark(spark, r.path)) for r in large}
+    marks = {r.file: (r.path, _mark(_head(spark, r.path, sample))) for r in large}
     split = {f for f, (_, m) in marks.items() if m == "utf-8" or m is None and (_by_lines(fallback) if label == "auto" else _by_lines(label))}
     if rest := sorted(set(marks) - split):
         small = small.unionByName(read_decoded(spark, path, label, sample, fallback, F.col("_metadata.file_path").isin(rest)))
@@ -100,7 +107,7 @@ def read(spark: SparkSession, path: str, label: str = "auto", sample: int = enc.
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
     each = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     beyond = F.regexp_instr(each, F.lit(r"[^\x00-\x7F]"))
-    first = F.min(F.when(beyond > 0, F.struct("start", "row", F.substring(each, beyond, F.lit(sample)).alias("legacy"))))
+    first = F.min(F.when(beyond > 0, F.struct("start", "row", F.substring(each, F.greatest(beyond - 16, F.lit(1)), F.lit(sample)).alias("legacy"))))
     blocks = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), first.alias("first"))
     of_file = Window.partitionBy("file")
     blocks = blocks.select(
@@ -108,9 +115,9 @@ def read(spark: SparkSession, path: str, label: str = "auto", sample: int = enc.
         F.min("utf8").over(of_file).alias("utf8"), F.min("first").over(of_file)["legacy"].alias("legacy"),
     )
     known = spark.createDataFrame([(f, *marks[f]) for f in sorted(split)], "file string, path string, mark string")
-    cp1252 = ~F.col("legacy").rlike(r"[\x81\x8D\x8F\x90\x9D]")
-    if label == "auto":
-        name, sure = F.when(F.col("utf8"), "utf-8").when(cp1252, "windows-1252").otherwise(fallback), F.col("utf8") | cp1252
+    if label == "auto":  # line ends are no part of another character in any charset but UTF-16
+        d = enc.detected(F.encode("legacy", "ISO-8859-1"), label, sample, fallback)
+        name, sure = F.when(F.col("utf8"), "utf-8").otherwise(d["encoding"]), F.col("utf8") | d["confident"]
     else:
         name, sure = F.lit(enc.resolve_label(label)), F.lit(True)
     marked = F.col("mark").isNotNull()

@@ -39,7 +39,7 @@ def test_decoded(spark, folder):
 def test_detection_cases():
     assert encoding.detect_bytes(None) == (None, False, False)
     assert encoding.detect_bytes(b"") == ("utf-8", False, True)
-    assert encoding.detect_bytes(b"\x81\x8d") == ("utf-8", False, False)
+    assert encoding.detect_bytes(b"\0\x01\x02\x98", fallback="x") == ("x", False, False)
     assert encoding.detect_bytes(b"\xe9", "latin-1") == ("iso8859-1", False, True)
     assert encoding.detect_bytes(b"\xe9", "no-such") == ("utf-8", False, True)
     # a character cut by the sample is not an error
@@ -53,12 +53,31 @@ def test_detection_takes_the_whole_content(spark, tmp_path):
     for label in ("auto", "latin-1"):
         got = {r.i: tuple(r.d) for r in df.select("i", encoding.detected(F.col("c"), label).alias("d")).collect()}
         assert got == {i: encoding.detect_bytes(c, label) for i, c in enumerate(cases)}
-    assert encoding.detect_bytes(cases[5]) == ("windows-1252", False, True)
+    assert encoding.detect_bytes(cases[5])[:2] == ("windows-1252", False)
     (tmp_path / "late.txt").write_bytes(ascii_ + b"\xe9t\xe9")
     last = [r.line for r in files.read_decoded(spark, str(tmp_path)).collect()][-1]
     assert last == "été"
 
 
+SAMPLES = {
+    "Привет, как дела? Сегодня хорошая погода, и мы пошли гулять.": ("windows-1251", "koi8-r", "utf-16le", "utf-16be"), "value = 'привет' # комментарий к коду, x = 5": ("windows-1251", "koi8-r"),
+    "Où est passé le garçon français à côté de l'été, déjà célèbre?": ("windows-1252", "utf-16le"), "Die Straße führt über größere Flüsse — schöne Grüße!": ("windows-1252", "utf-16be"), "vier é": ("windows-1252",),
+    "今天天气很好，我们去公园散步。你好世界": ("gb18030", "utf-16le", "utf-16be"), "今日は天気がいいので、公園へ散歩に行きました。カタカナ": ("shift_jis", "euc_jp", "utf-16le"), "오늘은 날씨가 좋아서 공원에 산책하러 갔습니다.": ("euc_kr",),
+    "Σήμερα ο καιρός είναι πολύ καλός και πήγαμε βόλτα.": ("windows-1253",), "今天天氣很好,我們去公園散步,謝謝大家": ("big5",), "plain words": ("utf-16le", "utf-16be", "utf-8"), "nul \0 and \x01": ("utf-8",),
+}
+
+
+def test_detection_by_content(spark):
+    cases = [(bytearray((text + "\n").encode(name) * k), name) for text, names in SAMPLES.items() for name in names for k in (1, 400)]
+    cases.append((bytearray(b"x" * 20_000 + "größte".encode("cp1252")), "windows-1252"))
+    for content, name in cases:
+        assert encoding.detect_bytes(bytes(content))[0] == name, (bytes(content)[:40], name)
+    df = spark.createDataFrame(cases, "c binary, want string")
+    got = df.select(encoding.detected(F.col("c")).alias("d"), "c").collect()
+    assert all(tuple(r.d) == encoding.detect_bytes(bytes(r.c)) for r in got)
+    assert not encoding.detect_bytes("vier é".encode("cp1252"))[2] and encoding.detect_bytes(b"\xff\xfe\x00", fallback="x")[1:] == (True, True)
+
+
 KEYED = config.Config(output=config.Output(quarantine_key="k"))
 
 
