@@ -403,9 +403,13 @@ def _changed_later(text: str) -> tuple[str, float] | None:
     for encoding in READ_AS:
         found = _loose(text, encoding, folded, lost)
         if found is not None and found[0] != text:
-            cost = garbling_cost(found[0]) + 0.2 * found[1]
+            fixed = found[0]
+            if folded:  # what is restored was of that case too when the value was folded
+                cased_too = fixed.lower() if text.lower() == text else fixed.upper()
+                fixed = cased_too if len(cased_too) == len(fixed) else fixed
+            cost = garbling_cost(fixed) + 0.2 * found[1]
             if before - cost >= UTF8_MARGIN and (best is None or cost < best[1]):
-                best = found[0], cost
+                best = fixed, cost
     return best
 
 
