@@ -88,8 +88,14 @@ REDACTIONS = (
     ("IPV4", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IPV4]", (".",)),
     ("PHONE", r"\+[0-9]{1,3}[ \-]?(?:\([0-9]{1,4}\)[ \-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}\b", "[PHONE]", ("+",)),
 )
+#: The same by one first letter instead of seven words tried at every place.
+_FASTER = {
+    REDACTIONS[3][1]: r"""(?i)([psta](?:(?<=p)assword|(?<=p)asswd|(?<=p)wd|(?<=s)ecret|(?<=t)oken|(?<=a)pi_?key)["']?\s*[:=]\s*["']?)[^\s"',;]{4,}""",
+}
 #: Tokens of a random look: so long, of capital and small letters and digits, of so many bits a character at least.
 TOKEN, TOKEN_BITS = r"[A-Za-z0-9+/_\-]{24,}", 4.0
+#: Holds a text a token of capitals, small letters and digits at all? Most long tokens are hashes of small letters only.
+_MAY_BE_TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[a-z0-9+/_\-]*[A-Z])(?=[A-Z0-9+/_\-]*[a-z])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{24}"
 #: A path is no token: with so many parts of letters only.
 _WORDY = r"(?:^|[/_\-])[A-Za-z]{4,}(?:[/_\-]|$)"
 
@@ -110,7 +116,7 @@ def redact(text: Column, email: str | None = None) -> Column:
     """
 
     def one(pattern: str, marker: str, holds: tuple[str, ...]) -> Callable[[Column], Column]:
-        found = email or _EMAIL_ONCE if pattern == EMAIL else pattern
+        found = email or _EMAIL_ONCE if pattern == EMAIL else _FASTER.get(pattern, pattern)
 
         def use(t: Column) -> Column:
             replaced = F.regexp_replace(t, found, marker)
@@ -122,7 +128,7 @@ def redact(text: Column, email: str | None = None) -> Column:
     for _, pattern, marker, holds in REDACTIONS:
         text = lines.once(text, one(pattern, marker, holds))
     tokens = lambda t: F.aggregate(_random_tokens(t), t, lambda out, x: F.replace(out, x, F.lit("[TOKEN]")))
-    return lines.once(text, lambda t: F.when(t.rlike(TOKEN), tokens(t)).otherwise(t))
+    return lines.once(text, lambda t: F.when(t.rlike(_MAY_BE_TOKEN), tokens(t)).otherwise(t))
 
 
 #: Lines in which a site, a name and a secret are joined: detected and set aside whole, never taken apart.
