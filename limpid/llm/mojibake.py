@@ -417,11 +417,15 @@ def _changed_later(text: str) -> tuple[str, float] | None:
 _LOST = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
 
 
-@functools.lru_cache(1 << 15)
 def repair(text: str | None) -> tuple[bool, str | None]:
     """(is it garbled, the restored text as far as possible)."""
     if not text or text.isascii():
         return False, text
+    # names repeat, long texts hardly do and would fill the memory
+    return _short(text) if len(text) <= 200 else _repaired(text)
+
+
+def _repaired(text: str) -> tuple[bool, str]:
     now, garbled = text, _LOST.search(text) is not None
     found = _round_trips(text)
     if found is not None:
@@ -432,6 +436,9 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     return garbled, now
 
 
+_short = functools.lru_cache(1 << 15)(_repaired)
+
+
 def _repair_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for values in batches:
         done = [repair(v) if isinstance(v, str) else (False, None) for v in values]
