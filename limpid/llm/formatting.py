@@ -5,8 +5,8 @@ punctuation of any script are skipped, letter case is folded) into two rolling p
 field: every character adds its term in place, skipped ones add nothing, and no canonical string is
 built. The hashes of the two fields are put in order, so that swapped fields meet. Rows whose hashes
 collide are verified by comparing them with the group's first row with two pointers that skip and fold
-as they go. Should a comparison fail, which two hashes of 64 bits make all but impossible, those rows
-alone are grouped by their folded text, so that the result is exact.
+as they go. Should a comparison fail, as it may for a few rows among billions since the hashes travel as one
+number of 64 bits, those rows alone are grouped by their folded text, so that the result is exact.
 
 Spark plan: (hash, record id) is aggregated with a map-side combine to the groups with two rows or
 more, which are written down; the rows then join them, and the members the first rows' texts. Both
@@ -130,7 +130,7 @@ def same(a: str, b: str) -> bool:
             return True
 
 
-def _hash_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _hash_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         n = len(a)
         one, two = hashes([*a.tolist(), *b.tolist()])
@@ -139,7 +139,8 @@ def _hash_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         low2, high2 = np.where(first, two[:n], two[n:]), np.where(first, two[n:], two[:n])
         rotate = (high1 << np.uint64(21)) | (high1 >> np.uint64(43)), (high2 << np.uint64(33)) | (high2 >> np.uint64(31))
         k1, k2 = _mix(low1 * np.uint64(3) + rotate[0], 7), _mix(low2 * np.uint64(5) + rotate[1], 11)
-        yield pd.DataFrame({"k1": k1.view(np.int64), "k2": k2.view(np.int64)})
+        # one number of 64 bits travels; should two records share it, the comparison tells them apart
+        yield pd.Series(_mix(k1 + ((k2 << np.uint64(29)) | (k2 >> np.uint64(35))), 13).view(np.int64))
 
 
 def present(c: Column) -> Column:
@@ -148,11 +149,11 @@ def present(c: Column) -> Column:
 
 
 def keyed(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
-    """(record_id, a, b, k1, k2) of the rows that take part."""
+    """(record_id, a, b, k) of the rows that take part; k is equal for equal records."""
     rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("record_id").isNotNull() & present(F.col("a")) & present(F.col("b")))
     # called nondeterministic, so that no filter that a join infers is pushed below it and makes it run again
-    udf = F.pandas_udf(_hash_batches, "k1 bigint, k2 bigint").asNondeterministic()
-    return rows.withColumn("k", udf("a", "b")).select("record_id", "a", "b", "k.k1", "k.k2")
+    udf = F.pandas_udf(_hash_batches, "bigint").asNondeterministic()
+    return rows.withColumn("k", udf("a", "b"))
 
 
 def _same_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -181,12 +182,12 @@ def _canonical_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
 def members(df: DataFrame, id_col: str = "record_id", a: str = "url", b: str = "username") -> DataFrame:
     """(first_record_id, record_id): every row of a group of equal records other than its first, by smallest id."""
     rows = keyed(df, id_col, a, b)
-    groups = rows.groupBy("k1", "k2").agg(F.min("record_id").alias("first_record_id"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n").checkpoint()
+    groups = rows.groupBy("k").agg(F.min("record_id").alias("first_record_id"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n").checkpoint()
     # the texts of rows in groups of one are dropped by the join
-    inside = rows.join(groups.hint("merge"), ["k1", "k2"]).checkpoint()
-    first = inside.where(F.col("record_id") == F.col("first_record_id")).select("k1", "k2", F.col("a").alias("c"), F.col("b").alias("d")).dropDuplicates(["k1", "k2"]).checkpoint()
+    inside = rows.join(groups.hint("merge"), "k").checkpoint()
+    first = inside.where(F.col("record_id") == F.col("first_record_id")).select("k", F.col("a").alias("c"), F.col("b").alias("d")).dropDuplicates(["k"]).checkpoint()
     check = F.pandas_udf(_same_batches, "boolean")
-    tested = inside.where(F.col("record_id") != F.col("first_record_id")).join(first.hint("merge"), ["k1", "k2"]).withColumn("ok", check("a", "b", "c", "d"))
+    tested = inside.where(F.col("record_id") != F.col("first_record_id")).join(first.hint("merge"), "k").withColumn("ok", check("a", "b", "c", "d"))
     tested = tested.select("first_record_id", "record_id", F.when(~F.col("ok"), F.struct("a", "b")).alias("odd")).checkpoint()
     good = tested.where("odd is null").select("first_record_id", "record_id")
     canonical = F.pandas_udf(_canonical_batches, "string")

@@ -83,7 +83,7 @@ def expected(rows):
 def test_members_against_brute_force(spark):
     r = random.Random(4)
     rows = [(i, r.choice(FORMS), r.choice(FORMS)) for i in range(1200)]
-    df = spark.createDataFrame([*rows, (None, "Ann.Lee", "annlee")], "record_id int, url string, username string").withColumns({"k1": F.lit(1), "a": F.lit("clash"), "first_record_id": F.lit(0)})
+    df = spark.createDataFrame([*rows, (None, "Ann.Lee", "annlee")], "record_id int, url string, username string").withColumns({"k": F.lit(1), "a": F.lit("clash"), "first_record_id": F.lit(0)})
     got = {tuple(x) for x in formatting.members(df).collect()}
     assert got == expected(rows) and got
     collapsed = {x.first_record_id: x.n_copies for x in formatting.collapse(df).collect()}
@@ -97,7 +97,7 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     real = formatting.keyed
 
     def one_hash(*args):
-        return real(*args).withColumns({"k1": F.lit(1).cast("bigint"), "k2": F.lit(1).cast("bigint")})
+        return real(*args).withColumn("k", F.lit(1).cast("bigint"))
 
     monkeypatch.setattr(formatting, "keyed", one_hash)
     assert {tuple(x) for x in formatting.members(df).collect()} == {(1, 2), (3, 4)}
@@ -117,8 +117,8 @@ def test_a_hot_record_is_split(spark):
             spark.conf.set(k, v)
         df = hot.unionByName(rest).repartition(8)
         rows = formatting.keyed(df, "record_id", "url", "username")
-        groups = rows.groupBy("k1", "k2").agg(F.min("record_id").alias("first_record_id")).checkpoint()
-        joined = rows.join(groups.hint("merge"), ["k1", "k2"])
+        groups = rows.groupBy("k").agg(F.min("record_id").alias("first_record_id")).checkpoint()
+        joined = rows.join(groups.hint("merge"), "k")
         assert len(joined.select("record_id").collect()) == 120_000
         joined.collect()
         plan = joined._jdf.queryExecution().executedPlan().toString()
